@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat, decontaminate, langid, secrets, token_counts
+from . import bpe_chunks, chat, decontaminate, langid, minhash, secrets, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (langid.remainder() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -41,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op6_bpe_roundtrip, op7_secrets, op8_chat_format, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_minhash, op6_bpe_roundtrip, op7_secrets, op8_chat_format, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
@@ -59,6 +63,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op3_minhash"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 75 * (nx.n + ny.n - i)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(a, b) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+o AS (SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o
+"""
+
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 
