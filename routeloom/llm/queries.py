@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat, decontaminate, langid, minhash, secrets, token_counts
+from . import bpe_chunks, chat, decontaminate, fm_dedup, langid, minhash, secrets, suffix_dedup, token_counts
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="none", outputs=("kept_sha256",))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -41,11 +45,15 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(rows))
 
 
+def op9_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), outputs=("kept_sha256",))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_minhash, op6_bpe_roundtrip, op7_secrets, op8_chat_format, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_minhash, op5_suffix_dedup, op6_bpe_roundtrip, op7_secrets, op8_chat_format, op9_fm_dedup, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
@@ -77,6 +85,17 @@ o AS (SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o
 """
 
+ORACLES["op9_fm_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, k, array_to_string(w[k : k + 12], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 12 + 1)) AS k FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS m FROM g GROUP BY win HAVING min(doc_id) <> max(doc_id)),
+x AS (SELECT DISTINCT r, unnest(range(k, k + 13)) AS p FROM g JOIN f USING (win) WHERE m < doc_id),
+l AS (SELECT r, count(*) AS n, list(p) AS ps FROM x GROUP BY r)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(l.n, 0) AS n_removed,
+ sha256(coalesce(array_to_string(CASE WHEN l.r IS NULL THEN w ELSE list_filter(list_transform(w, lambda e, i: CASE WHEN list_contains(l.ps, i) THEN NULL ELSE e END), lambda e: e IS NOT NULL) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN l USING (r)
+"""
+
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 
