@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat, decontaminate, fm_dedup, langid, minhash, secrets, suffix_dedup, token_counts
+from . import bpe_chunks, chat, decontaminate, e8, fm_dedup, langid, minhash, secrets, suffix_dedup, token_counts
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e8.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="none", outputs=("kept_sha256",))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_minhash, op5_suffix_dedup, op6_bpe_roundtrip, op7_secrets, op8_chat_format, op9_fm_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_minhash, op4_e8_lattice, op5_suffix_dedup, op6_bpe_roundtrip, op7_secrets, op8_chat_format, op9_fm_dedup, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
@@ -96,6 +100,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(l.n, 0) AS n_remove
 FROM d LEFT JOIN l USING (r)
 """
 
+ORACLES["op4_e8_lattice"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT x, y FROM l UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id, vec_id <= coalesce(c.m, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 
