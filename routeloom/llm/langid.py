@@ -40,7 +40,7 @@ class Grams:
 
     def clear(self) -> None:
         self.codes, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.vectors, self.used = np.zeros((1024, self.dims), np.float32), 0
+        self.vectors, self.used = np.zeros((1024, self.dims), np.int8), 0
 
     def letter_vector(self, point: int) -> np.ndarray:
         if point not in self.letters:
@@ -66,7 +66,7 @@ class Grams:
                 self.clear()
                 new = codes
             if self.used + len(new) > len(self.vectors):
-                grown = np.zeros((max(2 * len(self.vectors), self.used + len(new)), self.dims), np.float32)
+                grown = np.zeros((max(2 * len(self.vectors), self.used + len(new)), self.dims), np.int8)
                 grown[: self.used] = self.vectors[: self.used]
                 self.vectors = grown
             for k, code in enumerate(new):
@@ -102,9 +102,9 @@ class Grams:
             return None
         codes, counts = found
         out = np.zeros(self.dims, np.float32)
-        for k in range(0, len(codes), 20_000):
-            rows = self.look(codes[k : k + 20_000])
-            out += counts[k : k + 20_000].astype(np.float32) @ self.vectors[rows]
+        for k in range(0, len(codes), 2_000):
+            rows = self.look(codes[k : k + 2_000])
+            out += counts[k : k + 2_000].astype(np.float32) @ self.vectors[rows].astype(np.float32)
         return out
 
 
