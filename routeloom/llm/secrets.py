@@ -60,21 +60,37 @@ def blob_of(text: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules=RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings of every path: path, blob, findings; new ledger entries, to be added to the ledger)."""
+def update(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules=RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(entries of this rule version: blob, findings; new ledger entries, to be added to the ledger)."""
     spark = docs.sparkSession
     ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger.select("blob", "rule_version", "findings")
-    known = ledger.where(F.col("rule_version") == rule_version)
-    versions = docs.select(F.col(path).alias("path"), blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    unseen = versions.select("blob", "body").join(known.select("blob").distinct(), "blob", "left_anti")
+    known = ledger.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
+    versions = docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    unseen = versions.join(known.select("blob"), "blob", "left_anti")
     blobs = unseen.groupBy("blob").agg(F.first("body").alias("body"))
     added = cut(blobs.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("body"), rules).alias("findings")), "ledger")
-    entries = known.unionByName(added).select("blob", "findings")
-    if not ledger.isEmpty():
-        entries = entries.dropDuplicates(["blob"])
-    hits = entries.where(F.size("findings") > 0)
-    out = versions.select("path", "blob").join(hits, "blob", "left")
-    return out.select(F.col("path").alias(path), "blob", F.coalesce("findings", F.from_json(F.lit("[]"), FINDING)).alias("findings")), added
+    return known.unionByName(added).select("blob", "findings"), added
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", rules=RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(the columns ``keep`` of every row of docs, with its blob and findings; new ledger entries)."""
+    entries, added = update(docs, ledger, text, rules, rule_version)
+    kept = [c for c in keep if c.lower() not in ("blob", "findings", "_hits", "_name")]
+    hits = entries.where(F.size("findings") > 0).select(F.col("blob").alias("_name"), F.col("findings").alias("_hits"))
+    named = docs.select(*kept, blob_of(text).alias("blob")).join(hits, F.col("blob") == F.col("_name"), "left")
+    return named.select(*kept, "blob", F.coalesce("_hits", F.from_json(F.lit("[]"), FINDING)).alias("findings")), added
+
+
+def redact(text: Column, found: Column) -> Column:
+    """The text with every finding, or run of findings that overlap, replaced by its first one's kind in brackets."""
+
+    def step(acc: Column, x: Column) -> Column:
+        new = x["start"] >= acc["at"]
+        out = F.when(new, F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+
+    done = F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, done).otherwise(text)
 
 
 def digest(found: DataFrame, path: str = "doc_id") -> DataFrame:
