@@ -61,13 +61,12 @@ def automaton(items: list[tuple[str | None, bytes]], n: int):
 _built: dict = {}
 
 
-def _automaton_of(shared, n: int):
-    """One automaton at a time in a Python worker."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), n)
-    if key not in _built:
+def _automaton_of(shared, name: str, n: int):
+    """One automaton at a time in a Python worker, known by the digest of its items."""
+    if (name, n) not in _built:
         _built.clear()
-        _built[key] = automaton(shared.value, n)
-    return _built[key]
+        _built[name, n] = automaton(shared.value, n)
+    return _built[name, n]
 
 
 def scan(text: bytes, found) -> tuple[int, list[tuple[int, int]], set]:
@@ -120,21 +119,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k)
         # bounded: a block has block_bytes of text on average, whatever the size of the benchmark
-        shared = spark.sparkContext.broadcast([(r["item"], bytes(r["body"])) for r in part.collect()])
+        held_items = sorted(((r["item"], bytes(r["body"])) for r in part.collect()), key=repr)
+        shared, name = spark.sparkContext.broadcast(held_items), hashlib.sha256(repr(held_items).encode()).hexdigest()
         first, last = k == 0, k == blocks - 1
         fields = [out.schema[c] for c in kept] + ([T.StructField(c, t) for c, t in RESULT] if last else held)
-        run = _scanner(shared, n, text, kept, first, last, T.StructType(fields))
+        run = _scanner(shared, name, n, text, kept, first, last, T.StructType(fields))
         out = out.withColumn("_b", text_bytes(text)).mapInArrow(run, T.StructType(fields))
     return out
 
 
-def _scanner(shared, n, text, kept, first, last, schema):
+def _scanner(shared, name, n, text, kept, first, last, schema):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     to = to_arrow_schema(schema)
 
     def run(batches):
-        found = _automaton_of(shared, n)
+        found = _automaton_of(shared, name, n)
         for batch in batches:
             whole = batch.column(batch.schema.get_field_index("_b"))
             for a, b in slices(whole):
