@@ -33,6 +33,8 @@ SHINGLE, PERCENT, TREES = 5, 75, 8
 #: A node of so many rows, with so many tokens in all, is compared exhaustively at once.
 LEAF_ROWS, LEAF_TOKENS = 2048, 4_000_000
 NODE_ROWS, LEVELS = 4096, 8
+#: Minima kept of each class: of the trees' roots and for branching before sets are shipped.
+MINIMA = 24
 U = np.uint64
 _rng = np.random.default_rng(0xC0FFEE)
 _MUL = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64) * U(2) + U(1)
@@ -67,13 +69,13 @@ def chain(*parts: int) -> int:
     return x - (1 << 63)
 
 
-def roots(tokens: np.ndarray, trees: int) -> np.ndarray:
-    """The root node of a set in each tree."""
-    best = np.full(trees, 2**64 - 1, np.uint64)
+def minima(tokens: np.ndarray, many: int) -> np.ndarray:
+    """The least token of a non-empty set under each of the first hash functions."""
+    best = np.full(many, 2**64 - 1, np.uint64)
     for k in range(0, len(tokens), 4096):
         part = tokens[k : k + 4096]
-        best = np.minimum(best, (part[None, :] * _MUL[:trees, None] + _ADD[:trees, None]).min(axis=1))
-    return W.mix(best + np.arange(1, trees + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
+        best = np.minimum(best, (part[None, :] * _MUL[:many, None] + _ADD[:many, None]).min(axis=1))
+    return best.view(np.int64)
 
 
 def chosen(node: int, branches: int = 2) -> list[int]:
@@ -151,7 +153,7 @@ def compare(ids: list[int], sets: list[np.ndarray], node: int, dense: bool, perc
     return out
 
 
-def _sketch(n: int, trees: int):
+def _sketch(n: int, many: int):
     def run(batches):
         for batch in batches:
             for a, b in slices(batch.column(1)):
@@ -160,8 +162,8 @@ def _sketch(n: int, trees: int):
                 for s in shingle_sets(data, at, n):
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    keys.append(roots(s, trees) if len(s) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+                    keys.append(minima(s, many) if len(s) else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "minima"])
 
     return run
 
@@ -185,12 +187,6 @@ def _sets_of(n: int, make, names: list[str], kinds: list[pa.DataType]):
     return run
 
 
-def _branch(doc, s, own):
-    for node in own:
-        for f in chosen(node):
-            yield doc, chain(node, f, least(s, f))
-
-
 def _ship(doc, s, own):
     body = packed(s)
     for x in own:
@@ -232,16 +228,12 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
 
 
-def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int = PERCENT, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
-    """(a, b): confirmed links among classes (rep, digest, keys), spanning every component that the trees find."""
+def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
+    """(a, b): confirmed links among classes (rep, digest, minima), spanning every component that the trees find."""
     text = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("body"))
     names = classes.select("rep", "digest")
-
-    def with_text(rows: DataFrame) -> DataFrame:
-        own = rows.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(names, "rep")  # a class's nodes: some a tree
-        return text.join(own, "rep").select("rep", "body", "digest", "nodes")
-
-    rows = classes.select("rep", F.explode("keys").alias("node"))
+    roots = classes.select("rep", F.posexplode(F.slice("minima", 1, trees)).alias("tree", "least"))
+    rows = roots.select("rep", F.xxhash64("tree", "least").alias("node"))
     done: DataFrame | None = None
     for level in range(levels + 1):
         counts = cut(_shared(rows), "nodes")
@@ -255,10 +247,13 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
             # still large: salted blocks, each pair of blocks a node of its own
             k = F.ceil(F.col("rows") * 2 / node_rows)
             c = F.pmod(F.xxhash64("rep", "node"), k)
-            pair = big.select("rep", "node", c.alias("c"), F.explode(F.sequence(F.lit(0), (k - 1).cast("int"))).alias("d"))
+            pair = big.select("rep", "node", c.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("d"))
             done = done.unionByName(pair.select("rep", F.xxhash64("node", F.least("c", "d"), F.greatest("c", "d")).alias("node"), F.lit(True).alias("dense")))
             break
-        rows = cut(with_text(big).mapInArrow(_sets_of(n, _branch, ["rep", "node"], [pa.int64(), pa.int64()]), "rep long, node long").distinct(), "branch")
+        # a node branches by two of its classes' minima, which its name chooses
+        at = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(MINIMA)) for k in range(2)]
+        child = F.explode(F.array_distinct(F.array(*[F.xxhash64("node", p, F.element_at("minima", (p + 1).cast("int"))) for p in at])))
+        rows = cut(big.join(classes.select("rep", "minima"), "rep").select("rep", child.alias("node")), "branch")
     flat = done.select("rep", F.struct("node", "dense").alias("x"))
     own = flat.groupBy("rep").agg(F.collect_list("x").alias("nodes")).join(names, "rep")
     shipped = text.join(own, "rep").select("rep", "body", "digest", "nodes").mapInArrow(_sets_of(n, _ship, ["rep", "node", "dense", "body"], [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]), "rep long, node long, dense boolean, body binary")
@@ -268,11 +263,13 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
-    sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(_sketch(n, trees), "doc_id long, n_shingles long, digest binary, keys array<long>")
+    if trees > MINIMA:
+        raise ValueError(f"{MINIMA} trees at most")
+    sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(_sketch(n, MINIMA), "doc_id long, n_shingles long, digest binary, minima array<long>")
     sketch = cut(sketch, "sketch")
     real = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = cut(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
-    found = links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), classes, n, percent, node_rows, levels)
+    classes = cut(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima")), "classes")
+    found = links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), classes, n, percent, trees, node_rows, levels)
     placed = real.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
     same = placed.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.collect_set("rep").alias("reps")).where("lo <> hi").select(F.col("lo").alias("a"), F.explode("reps").alias("b"))
     groups = components(found.unionByName(same))
