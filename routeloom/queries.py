@@ -112,6 +112,22 @@ def partition_rows(spark, sf_dir):
     return windows.partition_rows(_gps(spark, sf_dir))
 
 
+def _full(gps: DataFrame) -> DataFrame:
+    """Tracks with all columns of the schema."""
+    from .schema import GPS
+
+    return gps.select(*[(F.col(f.name) if f.name in gps.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in GPS])
+
+
+@query(f"WITH {GPS} SELECT idx, line AS \"lineName\", dir AS direction, strftime(t, '%Y-%m-%d %H:%M:%S') AS at_second, round(km, 6) AS distance_of_gpspoint FROM gps")
+def tracks_csv(spark, sf_dir):
+    """Tracks written as CSV, a folder a route, and read again with the fixed schema."""
+    path = tracks.scratch(spark, "tracks")
+    tracks.write_gps(_full(_gps(spark, sf_dir)), path, "csv")
+    back = tracks.read_partitioned_csv(spark, path)
+    return back.select("idx", "lineName", "direction", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("at_second"), _r("distance_of_gpspoint"))
+
+
 # --- rectangles ------------------------------------------------------------------------------------------------------
 
 
@@ -326,6 +342,14 @@ def nearest_segment(spark, sf_dir):
     return near.select("event_id", F.col("edge.vertex").alias("vertex"), _r(F.col("edge.km"), "km"))
 
 
+@query(f"WITH {INDEX} SELECT line AS \"lineName\", dir AS net_direction, ord, CAST(seg AS VARCHAR) AS opath, vertex, round(km, 6) AS distance_opath FROM ix")
+def distance_index_csv(spark, sf_dir):
+    """The distance index written as CSV, replacing what was there, and read again."""
+    path = tracks.scratch(spark, "index")
+    tracks.write_distance_index(_index(spark, sf_dir), path)
+    return tracks.read_distance_index(spark, path).select("lineName", "net_direction", "ord", "opath", "vertex", _r("distance_opath"))
+
+
 def _mapped(df: DataFrame) -> DataFrame:
     return df.select("idx", "opath", "lineName", "direction", "t_flag", _stamp("time"), _r("lng"), _r("lat"), _r("distance_of_gpspoint"), _r("gps_normalized_distance_length"))
 
