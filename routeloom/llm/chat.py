@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 
 @dataclass(frozen=True)
 class Template:
@@ -131,6 +133,7 @@ SEGMENT = "conv_id long, seq long, turn long, role string, text string, loss boo
 def format_chat(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """Segments of every conversation, each conversation's in order within one partition. valid: the order of roles up
     to this turn."""
+    ready(conversations)
     template = template or Template()
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

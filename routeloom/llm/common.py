@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import hashlib
+import ctypes
+import gc
+import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +64,31 @@ def forget(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker (Spark's own bound is 64 MB and 10,000 rows).
+BATCH_BYTES = 8 << 20
+
+
+def ready(df: DataFrame) -> None:
+    """Before Python runs on executors: keep batches small whatever the length of texts, since an executor holds a few
+    for each of its cores; and send this package along where executors would not find it by themselves."""
+    conf, sc = df.sparkSession.conf, df.sparkSession.sparkContext
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name)) or 0) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    root = Path(__file__).resolve().parents[2]
+    there = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if root not in there and sc.applicationId not in _sent and not str(root).endswith((".zip", ".egg")):
+        archive = Path(tempfile.mkdtemp(prefix="routeloom-")) / "routeloom.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted((root / "routeloom").rglob("*.py")):
+                z.write(path, path.relative_to(root))
+        sc.addPyFile(str(archive))
+        _sent.add(sc.applicationId)
+
+
+_sent: set[str] = set()
+
+
 def text_bytes(col: str = "text"):
     """The text as bytes, null as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
@@ -89,5 +119,31 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def word_bpe_path() -> str:
+    """The default tokenizer; every operator takes another path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+_held: dict = {}
+
+
+def held(kind: str, key, make):
+    """What an operator keeps in a Python worker between tasks (a tokenizer, an automaton, vectors): one thing at a
+    time, since workers outlive the operators that they serve and their memory is the executor's."""
+    if (kind, key) not in _held:
+        _held.clear()
+        release()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

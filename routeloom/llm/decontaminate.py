@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, slices, text_bytes
+from .common import held, raw, ready, slices, text_bytes
 
 #: Lowers A-Z, keeps 0-9, a-z and every byte from 0x80 on; all others become a space.
 NORMAL = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -58,17 +58,6 @@ def automaton(items: list[tuple[str | None, bytes]], n: int):
     return found
 
 
-_built: dict = {}
-
-
-def _automaton_of(shared, name: str, n: int):
-    """One automaton at a time in a Python worker, known by the digest of its items."""
-    if (name, n) not in _built:
-        _built.clear()
-        _built[name, n] = automaton(shared.value, n)
-    return _built[name, n]
-
-
 def scan(text: bytes, found) -> tuple[int, list[tuple[int, int]], set]:
     """Words of the text, merged spans of hit words, ids of the items that occur."""
     words = words_of(text)
@@ -109,6 +98,7 @@ def original(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and spans (hit runs as offsets of the original)."""
+    ready(docs)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_bytes("text").alias("body"))
     size = items.agg(F.sum(F.length("body"))).first()[0] or 0
@@ -134,7 +124,7 @@ def _scanner(shared, name, n, text, kept, first, last, schema):
     to = to_arrow_schema(schema)
 
     def run(batches):
-        found = _automaton_of(shared, name, n)
+        found = held("automaton", (name, n), lambda: automaton(shared.value, n))  # known by the digest of its items
         for batch in batches:
             whole = batch.column(batch.schema.get_field_index("_b"))
             for a, b in slices(whole):

@@ -16,12 +16,13 @@ first by name. Score is the cosine, 0 if negative. Rows with null lang are not l
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_BYTES, slices
+from .common import SLICE_BYTES, held, ready, slices
 
 DIMS, GRAM, SAMPLE = 1024, 3, 4000
 _POINTS = 0x110000
@@ -108,13 +109,8 @@ class Grams:
         return out
 
 
-_grams: dict = {}
-
-
 def grams(dims: int, n: int) -> Grams:
-    if (dims, n) not in _grams:
-        _grams[dims, n] = Grams(dims, n)
-    return _grams[dims, n]
+    return held("grams", (dims, n), lambda: Grams(dims, n))
 
 
 def learn(labelled: DataFrame, dims: int = DIMS, n: int = GRAM, sample: int = SAMPLE) -> dict[str, np.ndarray]:
@@ -150,35 +146,34 @@ def learn(labelled: DataFrame, dims: int = DIMS, n: int = GRAM, sample: int = SA
     return {lang: out[lang] / max(np.linalg.norm(out[lang]), 1e-12) for lang in sorted(out)}
 
 
-def predictor(model: dict[str, np.ndarray], dims: int = DIMS, n: int = GRAM) -> Column | object:
-    """A vectorised function text -> (lang_pred, score)."""
+def identify(docs: DataFrame, labelled: DataFrame, dims: int = DIMS, n: int = GRAM, sample: int = SAMPLE) -> DataFrame:
+    """docs with lang_pred and score (columns of these names are replaced), learned from ``labelled``."""
+    ready(docs)
+    model = learn(labelled, dims, n, sample)
     names = sorted(model)
     matrix = np.array([model[x] for x in names]).astype(np.float32).T if names else None
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    to = to_arrow_schema(schema)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        g, said, scores = grams(dims, n), [], []
-        for text in texts:
-            v = None if text is None or matrix is None else g.vector(text)
-            if v is None:
-                said.append("und")
-                scores.append(0.0)
-                continue
-            cosines = (v @ matrix) / max(float(np.sqrt(np.dot(v, v))), 1e-12)
-            k = int(np.argmax(cosines))
-            said.append(names[k])
-            scores.append(float(min(1.0, max(0.0, cosines[k]))))
-        return pd.DataFrame({"lang_pred": said, "score": scores})
-
-    return predict
+    def said(g: Grams, text: str | None) -> tuple[str, float]:
+        v = None if text is None or matrix is None else g.vector(text)
+        if v is None:
+            return "und", 0.0
+        cosines = (v @ matrix) / max(float(np.sqrt(np.dot(v, v))), 1e-12)
+        k = int(np.argmax(cosines))
+        return names[k], float(min(1.0, max(0.0, cosines[k])))
 
+    def run(batches):
+        g = grams(dims, n)
+        for batch in batches:
+            for a, b in slices(batch.column(len(kept)), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                found = [said(g, t) for t in part.column(len(kept)).to_pylist()]
+                columns = [part.column(k) for k in range(len(kept))] + [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to, strict=True)], schema=to)
 
-def identify(docs: DataFrame, labelled: DataFrame, dims: int = DIMS, n: int = GRAM, sample: int = SAMPLE) -> DataFrame:
-    """docs with lang_pred and score (columns of these names are replaced), learned from ``labelled``."""
-    predict = predictor(learn(labelled, dims, n, sample), dims, n)
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    out = docs.select(*kept, predict(F.col("text")).alias("_p"))
-    return out.select(*kept, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    return docs.select(*kept, F.col("text").alias("_t")).mapInArrow(run, schema)
 
 
 def remainder(key: str = "doc_id") -> Column:
