@@ -5,7 +5,8 @@ into ``trees`` independent trees: a tree's root branches by the least token unde
 exhaustively on whole sets; larger ones branch again by further chosen minwise tokens (two a node, each kept by a linked
 pair with probability 0.75 or more), and nodes that do not shrink are compared exhaustively after a number of levels.
 A pair at the threshold is missed by one root with probability 0.25, by all with 0.25 ** trees. A node returns a spanning
-forest of its confirmed links, never all its pairs, and components of these are components of all links found.
+forest of its confirmed links, never all its pairs, and components of these are components of all links found. Of nodes with the same classes one is
+compared.
 
 Scale: texts are shuffled once, and only classes in nodes of two or more go on from there. Nodes of more than
 ``node_rows`` classes are branched by Spark, level by level, before any task gets them; what is still larger after
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, raw, slices, text_bytes
+from .common import cut, raw, ready, slices, text_bytes
 from .components import components
 
 SHINGLE, PERCENT, TREES = 5, 75, 8
@@ -224,8 +225,10 @@ def _compare_nodes(percent: int):
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """(node, rows) of nodes with two classes or more."""
-    return nodes.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
+    """(node, rows) of nodes with two classes or more; of nodes with the same classes, as trees often make, one."""
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"m{k}") for k in range(2)]
+    counts = nodes.groupBy("node").agg(F.count("*").alias("rows"), *members).where("rows > 1")
+    return counts.groupBy("rows", "m0", "m1").agg(F.min("node").alias("node")).select("node", "rows")
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
@@ -263,6 +266,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    ready(docs)
     if trees > MINIMA:
         raise ValueError(f"{MINIMA} trees at most")
     sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(_sketch(n, MINIMA), "doc_id long, n_shingles long, digest binary, minima array<long>")
