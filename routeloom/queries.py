@@ -277,7 +277,7 @@ def top_events(spark, sf_dir):
 
     e = detect.detect(_gps(spark, sf_dir), "mbr", NORMAL).withColumn("distance", F.round("distance", 6))
     own = Window.partitionBy("service_date", "lineName", "direction").orderBy(F.desc("distance"), "win_st", "idx1", "idx2")
-    return e.withColumn("place", F.row_number().over(own)).where("place <= 2").select("lineName", "direction", "place", "win_st", "idx1", "idx2", "distance")
+    return e.withColumn("place", F.row_number().over(own).cast("long")).where("place <= 2").select("lineName", "direction", "place", "win_st", "idx1", "idx2", "distance")
 
 
 @query(
