@@ -18,24 +18,27 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes
+from .common import held, ready, slices, text_bytes, word_bpe_path
+from .token_counts import Counter
+from .words import LOWER
 
 MASK, LEAST, WINDOW, STEP = 0x3FF, 256, 32, 1 << 14
+#: Of ASCII characters: 0 white space, 1 letters, 2 digits, 3 all others.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[0x20] = 0
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def rolling(data: np.ndarray) -> np.ndarray:
     """At each byte a hash of the last WINDOW bytes: sums of doubling spans, no loop over bytes."""
     h = _GEAR[data]
@@ -61,15 +64,18 @@ def cuts(data: np.ndarray, least: int = LEAST, mask: int = MASK) -> list[int]:
 class Encoder:
     """Encodes UTF-8 texts by reused chunks; ids are little-endian unsigned 32-bit numbers. Memories are emptied when full."""
 
-    CHUNK_BYTES, WORDS = 24 << 20, 300_000
+    CHUNK_BYTES, WORDS = 12 << 20, 250_000
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are held as little-endian 32-bit numbers")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.merger = Counter(path)
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.size = self.reused = self.met = 0
@@ -77,18 +83,52 @@ class Encoder:
     def plain(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text as the library gives them, nothing reused."""
         found = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def pieces(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text; words between white space that were met before are not encoded again."""
         parts = [t.split() for t in texts]
-        new = [w for w in {w for own in parts for w in own} if w not in self.words]
+        new = {w for own in parts for w in own}.difference(self.words)
         if len(self.words) + len(new) > self.WORDS:
             self.words.clear()
-            new = list({w for own in parts for w in own})
-        self.words.update(zip(new, self.plain(new), strict=True))
+            new = {w for own in parts for w in own}
+        if new:
+            self._learn(new)
         return [b"".join(map(self.words.__getitem__, own)) for own in parts]
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Words up to U+024F are parted into pre-tokens and merged as arrays, all at once; the library encodes those
+        beyond and those that may hold a special token."""
+        ascii_, other, rest = [], [], []
+        for w in new:
+            if w.isascii() and b"'" not in w and b"<|" not in w:
+                ascii_.append(w)
+            elif b"<|" in w or max(w.decode("utf-8", "replace")) >= "ɐ":
+                rest.append(w)
+            else:
+                other.append(w)
+        # ASCII words without contractions: a pre-token ends where letters, single digits and other signs change
+        data = LOWER[np.frombuffer(b" ".join(ascii_), np.uint8)]
+        kind = _KIND[data]
+        inside = kind > 0
+        first = inside & (np.concatenate([[True], kind[1:] != kind[:-1]])[: len(kind)] | (kind == 2))
+        of = np.cumsum(~inside)[first]
+        place = np.flatnonzero(first[inside])
+        self._keep(ascii_, data[inside], np.diff(np.append(place, int(inside.sum()))), of)
+        parts = [[x.encode() for x in self.merger.pretokens(w.decode("utf-8", "replace"))] for w in other]
+        flat = [x for own in parts for x in own]
+        self._keep(other, np.frombuffer(b"".join(flat), np.uint8), np.fromiter(map(len, flat), np.int64, len(flat)), np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts))))
+        self.words.update(zip(rest, self.plain(rest), strict=True))
+
+    def _keep(self, words: list[bytes], data: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> None:
+        """Encode pre-tokens; of: the word of each."""
+        if not words:
+            return
+        ids, left = self.merger.encode(data, sizes)
+        ends = (4 * np.cumsum(np.bincount(of, weights=left, minlength=len(words)).astype(np.int64))).tolist()
+        body = ids.astype("<u4").tobytes()
+        self.words.update(zip(words, [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text, equal to encoding it whole."""
         parts: list[list[bytes]] = []
@@ -107,7 +147,12 @@ class Encoder:
                 else:
                     need[piece] = None
             parts.append(own)
-        for piece, found in zip(need, self.pieces(list(need)), strict=True):
+        ahead = []  # the words at the joins, so that they are learned at once with the chunks'
+        for own in parts:
+            for left, right in zip(own, own[1:], strict=False):
+                tail, head = left[_back(left, len(left)) :], right[: _on(right, 0)]
+                ahead += [tail, head, tail + head]
+        for piece, found in zip(need, self.pieces([*need, *ahead]), strict=False):
             self.chunks[piece] = found
             self.size += len(piece) + len(found) + 200
         out = [self.joined(own, [self.chunks[x] for x in own]) for own in parts]
@@ -157,19 +202,15 @@ def _on(text: bytes, at: int) -> int:
 _SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held("encoder", path, lambda: Encoder(path))
 
 
 def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), reuse: bool = True) -> DataFrame:
     """docs (or its columns ``keep``) with the ``outputs`` asked for: ids array<int>, decoded string, n_tokens long,
     ids_sha256 (ids as little-endian unsigned 32-bit) and decoded_sha256 strings."""
-    path = path or default_path()
+    ready(docs)
+    path = path or word_bpe_path()
     kinds = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in outputs]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, kinds[c]) for c in outputs])

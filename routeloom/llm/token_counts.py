@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe_chunks import default_path
-from .common import slices
+from .common import held, ready, slices, word_bpe_path
 
 #: The pre-token pattern that the vocabulary file names.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -108,34 +107,47 @@ class Counter:
         return [bytes(self.back[c] for c in x) for x, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def merge(self, tokens: list[bytes]) -> np.ndarray:
-        """Symbols that are left of each non-empty token."""
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        symbols = self.inner[np.frombuffer(b"".join(tokens), np.uint8)]
+        """How many symbols are left of each non-empty token."""
+        return self._merge(np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens)), None)
+
+    def encode(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids left of tokens that lie one behind another, and how many of each. data: the bytes of all; sizes: of
+        each, none empty."""
+        done: list = []
+        left = self._merge(data, sizes, done)
+        if not done:
+            return np.zeros(0, np.int64), left
+        owner, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
+        return symbols[np.argsort(owner, kind="stable")], left
+
+    def _merge(self, data: np.ndarray, sizes: np.ndarray, done: list | None) -> np.ndarray:
+        tokens = len(sizes)
+        symbols = self.inner[data]
         ends = np.cumsum(sizes)
-        symbols[ends - 1] = self.final[np.frombuffer(b"".join(tokens), np.uint8)[ends - 1]]
-        owner = np.repeat(np.arange(len(tokens)), sizes)
-        out = np.ones(len(tokens), np.int64)
-        while len(symbols) > 1:
+        symbols[ends - 1] = self.final[data[ends - 1]]
+        owner = np.repeat(np.arange(tokens), sizes)
+        out = np.ones(tokens, np.int64)
+        never = np.int32(2**31 - 1)
+        while len(symbols):
             at, found = self.ranks.look(symbols[:-1], symbols[1:])
             found &= owner[:-1] == owner[1:]
-            rank = np.where(found, self.ranks.ranks[at], np.int32(2**31 - 1))
-            firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             # the last symbol of all has no pair; pad so that each token has a minimum
-            best = np.minimum.reduceat(np.concatenate([rank, [np.int32(2**31 - 1)]]), firsts)
-            sizes = np.diff(np.concatenate([firsts, [len(symbols)]]))
-            over = best == 2**31 - 1
+            rank = np.append(np.where(found, self.ranks.ranks[at], never), never)
+            firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(rank, firsts)
+            sizes = np.diff(np.append(firsts, len(symbols)))
+            over = best == never
             out[owner[firsts[over]]] = sizes[over]
-            chosen = np.flatnonzero(found & (rank == np.repeat(best, sizes)[:-1]))
-            if not len(chosen):
-                break
+            chosen = np.flatnonzero((rank == np.repeat(best, sizes)) & (rank != never))
             # a pair that overlaps the merge before it (x x x) waits: of each run of neighbours every other one goes
-            run = np.concatenate([[True], np.diff(chosen) > 1])
+            run = np.concatenate([[True], np.diff(chosen) > 1])[: len(chosen)]
             start = np.maximum.accumulate(np.where(run, np.arange(len(chosen)), 0))
             chosen = chosen[(np.arange(len(chosen)) - start) % 2 == 0]
             symbols[chosen] = self.ranks.into[at[chosen]]
-            keep = np.ones(len(symbols), bool)
+            keep = np.repeat(~over, sizes)
+            if done is not None and over.any():
+                done.append((owner[~keep], symbols[~keep]))
             keep[chosen + 1] = False
-            keep &= np.repeat(~over, sizes)
             symbols, owner = symbols[keep], owner[keep]
         return out
 
@@ -159,18 +171,14 @@ class Counter:
         return [extra + sum(map(known.__getitem__, own)) for extra, own in zip(totals, parts, strict=True)]
 
 
-_counters: dict = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return held("counter", path, lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, limit: int = 2048, text: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
-    path = path or default_path()
+    ready(docs)
+    path = path or word_bpe_path()
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -8,7 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from routeloom.llm import bpe_chunks, langid, secrets
+from routeloom.llm import langid, secrets
+from routeloom.llm.common import word_bpe_path
 
 from .test_dedup import near_expected
 from .test_text_operators import leaks_expected, secrets_expected
@@ -36,7 +37,7 @@ def test_run(spark, folder):
         first.setdefault(r[0], r)
     rows = [*first.values(), *(r for r in rows if r[0] is None)]
     rows = [r for r in rows if not next(iter(leaks_expected([r], items)))[5]]
-    lib = Tokenizer.from_file(bpe_chunks.default_path())
+    lib = Tokenizer.from_file(word_bpe_path())
     expected = Counter()
     for doc, text, *_ in rows:
         clean, at = "", 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from routeloom.llm import bpe_chunks, chat, decontaminate, langid, secrets, token_counts, words
+from routeloom.llm.common import word_bpe_path
 
 SHA = lambda t: hashlib.sha256(t.encode()).hexdigest()
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -105,12 +106,12 @@ def odd_texts():
 
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(bpe_chunks.default_path())
+    return Tokenizer.from_file(word_bpe_path())
 
 
 def test_chunked_encoding_is_exact(library):
     texts = odd_texts()
-    enc = bpe_chunks.Encoder(bpe_chunks.default_path())
+    enc = bpe_chunks.Encoder(word_bpe_path())
     got = enc.encode([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert enc.reused > 10
@@ -135,7 +136,7 @@ def test_encode_decode(docs, corpus, none, library):
 
 def test_token_counts(docs, corpus, none, library):
     texts = odd_texts()
-    assert token_counts.Counter(bpe_chunks.default_path()).count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.Counter(word_bpe_path()).count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     got = Counter(map(tuple, token_counts.count_tokens(docs, keep=["doc_id"]).collect()))
     expected = Counter()
     for doc, text, *_ in corpus:
