@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, text_bytes
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def format_chat(conversations: DataFrame, template: Template | None = None) -> D
     to this turn."""
     ready(conversations)
     template = template or Template()
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), text_bytes("role").alias("role"), text_bytes("text").alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     names = [f.split()[0] for f in SEGMENT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
@@ -150,6 +150,7 @@ def format_chat(conversations: DataFrame, template: Template | None = None) -> D
                     if conv != now:
                         machine.start()
                         now, seq = conv, 0
+                    role, text = role.decode("utf-8", "replace"), text.decode("utf-8", "replace")
                     for segment, loss in machine.turn(role, text):
                         for column, v in zip(out, (conv, seq, turn, role, segment, loss, machine.valid), strict=True):
                             column.append(v)

@@ -123,7 +123,7 @@ def learn(labelled: DataFrame, dims: int = DIMS, n: int = GRAM, sample: int = SA
         raise ValueError(f"{len(sizes)} languages: prototypes would not be small; is lang a language?")
     share = F.coalesce(F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, sample / size))])[F.col("lang")], F.lit(1.0))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000
-    chosen = rows.where(draw < share).select("lang", "text")
+    chosen = rows.where(draw < share).select("lang", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         g, sums = grams(dims, n), {}
@@ -131,7 +131,7 @@ def learn(labelled: DataFrame, dims: int = DIMS, n: int = GRAM, sample: int = SA
             langs = batch.column(0).to_pylist()
             for a, b in slices(batch.column(1), SLICE_BYTES):
                 for lang, text in zip(langs[a:b], batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    v = g.vector(text)
+                    v = g.vector(text.decode("utf-8", "replace"))
                     if v is not None and (size := float(np.sqrt(np.dot(v, v)))):
                         sums.setdefault(lang, np.zeros(dims, np.int64))
                         sums[lang] += np.rint(v * (_UNIT / size)).astype(np.int64)
@@ -156,8 +156,8 @@ def identify(docs: DataFrame, labelled: DataFrame, dims: int = DIMS, n: int = GR
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     to = to_arrow_schema(schema)
 
-    def said(g: Grams, text: str | None) -> tuple[str, float]:
-        v = None if text is None or matrix is None else g.vector(text)
+    def said(g: Grams, text: bytes | None) -> tuple[str, float]:
+        v = None if text is None or matrix is None else g.vector(text.decode("utf-8", "replace"))
         if v is None:
             return "und", 0.0
         cosines = (v @ matrix) / max(float(np.sqrt(np.dot(v, v))), 1e-12)
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, labelled: DataFrame, dims: int = DIMS, n: int = GR
                 columns = [part.column(k) for k in range(len(kept))] + [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to, strict=True)], schema=to)
 
-    return docs.select(*kept, F.col("text").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col("text").cast("binary").alias("_t")).mapInArrow(run, schema)
 
 
 def remainder(key: str = "doc_id") -> Column:

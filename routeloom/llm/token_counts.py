@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, ready, slices, word_bpe_path
+from .common import held, ready, slices, text_bytes, word_bpe_path
 
 #: The pre-token pattern that the vocabulary file names.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -191,10 +190,10 @@ def count_tokens(docs: DataFrame, limit: int = 2048, text: str = "text", path: s
             for a, b in slices(batch.column(len(kept))):
                 part = batch.slice(a, b - a)
                 texts = part.column(len(kept))
-                counts = c.count(texts.to_pylist())
+                counts = c.count([t.decode("utf-8", "replace") for t in texts.to_pylist()])
                 columns = [part.column(k) for k in range(len(kept))] + [pa.compute.binary_length(texts), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, to, strict=True)], schema=to)
 
     import pyarrow.compute  # noqa: F401  pa.compute is loaded on demand
 
-    return docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInArrow(run, schema)
+    return docs.select(*kept, text_bytes(text).alias("_t")).mapInArrow(run, schema)

@@ -259,3 +259,22 @@ def test_word_fingerprints():
     assert np.diff(at).tolist() == [len(t.split()) for t in texts]
     h = words.hashes(data, starts, ends)
     assert len(set(h.tolist())) == len(set(found)) and len({(f, int(x)) for f, x in zip(found, h, strict=True)}) == len(set(found))
+
+
+def test_texts_that_are_not_utf8(spark):
+    """Bytes outside UTF-8 stop no operator; where text is decoded, they read as U+FFFD."""
+    from routeloom.llm import fm_dedup, minhash, suffix_dedup
+
+    odd = F.expr("CAST(X'61FF62206320FE' AS STRING)")
+    df = spark.range(3).select(F.col("id").alias("doc_id"), odd.alias("text"), F.lit("xx").alias("lang"))
+    bench = df.select(F.col("doc_id").alias("item_id"), "text")
+    assert decontaminate.decontaminate(df, bench).where("contaminated").count() == 3
+    assert langid.identify(df, df).where("lang_pred = 'xx'").count() == 3
+    assert [r.n_bytes for r in token_counts.count_tokens(df).collect()] == [7] * 3
+    assert len({r.n_tokens for r in token_counts.count_tokens(df).collect()} | {r.n_tokens for r in bpe_chunks.encode_decode(df, outputs=("n_tokens",)).collect()}) == 1
+    assert secrets.digest(secrets.scan(df)[0]).count() == 3
+    assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {0}
+    assert {r.n_removed for r in suffix_dedup.remove_repeats(df, 3, "none").collect()} == {7}
+    assert sum(r.n_removed for r in fm_dedup.remove_repeats(df, 2).collect()) == 6
+    turns = df.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+    assert chat.read_back(chat.format_chat(turns)).where("n_turns = 1").count() == 3
