@@ -18,13 +18,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from . import words as W
 from .common import raw, slices
-from .passages import Words, merged, repeated_spans, texts
+from .passages import KEY, Words, merged, repeated_spans, texts
 
 SIZE = 13
 SHARD_BYTES = 3 << 20
+#: Texts of one anchor that a shard may gather, each with about 100 bytes of context.
+HOT = 100_000
+#: Windows searched at a time.
+STEP = 100_000
 U = np.uint64
 
 
@@ -93,10 +97,10 @@ class Index:
 
 def decide(size: int):
     def run(contexts, many, owner, doc, base):
-        lengths = np.array([len(c) // 6 for c in contexts], np.int64)
-        eight = np.zeros((int(lengths.sum()), 8), np.uint8)
-        eight[:, :6] = np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, 6)
-        symbols = np.unique(eight.view(np.uint64).ravel(), return_inverse=True)[1] + 1
+        lengths = many + size - 1
+        data = np.frombuffer(b" ".join(contexts), np.uint8)
+        starts, ends, _ = W.bounds(data, np.array([0, len(data)]), W.PLAIN)
+        symbols = np.unique(W.hashes(data, starts, ends), return_inverse=True)[1] + 1  # 64 bits name a word
         begin = np.cumsum(lengths + 1) - lengths - 1
         text = np.zeros(int(lengths.sum()) + len(contexts), np.int64)  # 0 ends a context
         inside = np.ones(len(text), bool)
@@ -110,7 +114,8 @@ def decide(size: int):
         by_suffix = np.concatenate([least[of[index.sa]], [np.iinfo(np.int64).max]])
         first = np.cumsum(many) - many
         window = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(first, many)
-        lo, hi = index.search(text[window[:, None] + np.arange(size)])
+        found = [index.search(text[window[k : k + STEP, None] + np.arange(size)]) for k in range(0, len(window), STEP)]
+        lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
         ends, back = np.unique(lo, return_inverse=True)
         top = np.zeros(len(ends), np.int64)
         top[back] = hi
@@ -150,12 +155,11 @@ def _finish(size: int, outputs: tuple[str, ...]):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, outputs: tuple[str, ...] = ("kept", "spans"), shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, outputs: tuple[str, ...] = ("kept", "spans"), shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, and of outputs: kept binary, the words left joined by one space, spans
     array<struct<start,end>> in words, kept_sha256) of every row."""
     found = texts(docs)
-    classes, spans = repeated_spans(found, Words(size), decide(size), 6, False, shard_bytes)
-    info = classes.join(spans, ["t", "u"], "left")
-    whole = found.select("doc_id", "body", "doc", "t", "u").join(info, ["t", "u"]).select(F.col("doc_id").cast("long").alias("doc_id"), "body", "doc", "first", "spans")
+    info = repeated_spans(found, Words(size), decide(size), lambda least, total, doc, place: least["doc"] < doc, False, shard_bytes, hot)
+    whole = found.join(info, KEY).select("doc_id", "body", "doc", "first", "spans")
     sql = {"kept": "binary", "spans": "array<struct<start:long,end:long>>", "kept_sha256": "string"}
     return whole.mapInArrow(_finish(size, outputs), "doc_id long, n_words long, n_removed long" + "".join(f", {c} {sql[c]}" for c in outputs))

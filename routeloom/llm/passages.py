@@ -17,17 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, raw, slices, text_bytes
+from .common import cut, raw, ready, slices, text_bytes
 
 LAST = (1 << 63) - 1
 KEY = ["t", "u"]
 
 
 def texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, body, t, u): t and u name the text; a null doc_id comes last in the order of documents."""
+    """(doc, doc_id, body, t, u): t and u name the text; doc orders documents, null ids last."""
+    ready(docs)
     body = text_bytes(text)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    return docs.select(order.alias("doc"), F.col("doc_id"), body.alias("body"), F.xxhash64(body).alias("t"), F.xxhash64(F.lit(7), body).alias("u"))
+    return docs.select(order.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("t"), F.xxhash64(F.lit(7), body).alias("u"))
 
 
 def runs(values: np.ndarray, grams: int, firsts: np.ndarray, lasts: np.ndarray, size: int):
@@ -65,14 +66,33 @@ def minimizers(values: np.ndarray, w: int) -> np.ndarray:
     return (least & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def joined(h: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray):
+    """Runs that follow one another under one fingerprint are one: text with a short period has an anchor in each
+    period, and their contexts would overlap. The last array tells which are more than one."""
+    if not len(h):
+        return h, first, last, owner, np.zeros(0, bool)
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (first[1:] != last[:-1] + 1)])
+    at = np.flatnonzero(new)
+    size = np.diff(np.concatenate([at, [len(h)]]))
+    return h[at], first[at], last[at + size - 1], owner[at], size > 1
+
+
 class Kind:
     """How a text becomes symbols. anchors() gives fingerprints and window runs of a slice of texts."""
 
     size: int
 
+    def windows(self, context: bytes) -> int:
+        """How many windows a context has."""
+        raise NotImplementedError
+
+    def symbols(self, context: bytes) -> np.ndarray:
+        """A context's symbols as 64-bit numbers."""
+        raise NotImplementedError
+
     def anchors(self, data: np.ndarray, offsets: np.ndarray):
-        """(fingerprint, first start, last start, text) arrays and a function (first, end) -> bytes of the symbols;
-        starts count from the text's first symbol."""
+        """(fingerprint, first start, last start, text, whether met again within) arrays and a function place -> bytes
+        of the symbols of its windows; starts count from the text's first symbol."""
         raise NotImplementedError
 
 
@@ -82,6 +102,12 @@ class Bytes(Kind):
     def __init__(self, size: int):
         self.size, self.gram = size, min(self.GRAM, size)
 
+    def windows(self, context):
+        return len(context) - self.size + 1
+
+    def symbols(self, context):
+        return W.BYTE[np.frombuffer(context, np.uint8)]
+
     def anchors(self, data, offsets):
         n = len(data)
         values = W.BYTE[data]
@@ -97,9 +123,10 @@ class Bytes(Kind):
             values = values[:-extra] * np.uint64(0xD6E8FEB86659FD93) + values[extra:]
         values = W.mix(values) if n >= self.gram else values[:0]
         at, first, last, owner = runs(values, self.size - self.gram + 1, offsets[:-1], offsets[1:], self.size)
+        h, first, last, owner, more = joined(values[at], first, last, owner)
         body = data.tobytes()
         base = offsets[owner]
-        return values[at], first - base, last - base, owner, lambda k: body[first[k] : last[k] + self.size]
+        return h, first - base, last - base, owner, more, lambda k: body[first[k] : last[k] + self.size]
 
 
 class Words(Kind):
@@ -108,14 +135,21 @@ class Words(Kind):
     def __init__(self, size: int):
         self.size, self.gram = size, min(self.GRAM, size)
 
+    def windows(self, context):
+        return context.count(b" ") + 2 - self.size
+
+    def symbols(self, context):
+        data = np.frombuffer(context, np.uint8)
+        return W.hashes(data, *W.bounds(data, np.array([0, len(data)]), W.PLAIN)[:2])
+
     def anchors(self, data, offsets):
         starts, ends, at = W.bounds(data, offsets, W.PLAIN)
         h = W.hashes(data, starts, ends)
         values = W.windows(h, self.gram)
         place, first, last, owner = runs(values, self.size - self.gram + 1, at[:-1], at[1:], self.size)
-        six = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()  # 48 bits a word
-        base = at[owner]
-        return values[place], first - base, last - base, owner, lambda k: six[6 * int(first[k]) : 6 * (int(last[k]) + self.size)]
+        h64, first, last, owner, more = joined(values[place], first, last, owner)
+        body, base = data.tobytes(), at[owner]
+        return h64, first - base, last - base, owner, more, lambda k: b" ".join(body[starts[first[k]] : ends[last[k] + self.size - 1]].split())
 
 
 def _emit(kind: Kind):
@@ -123,14 +157,15 @@ def _emit(kind: Kind):
         for batch in batches:
             names = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column(0)):
-                h, _, _, owner, _ = kind.anchors(*raw(batch.column(0).slice(a, b - a)))
+                h, _, _, owner, more, _ = kind.anchors(*raw(batch.column(0).slice(a, b - a)))
                 if not len(h):
                     continue
                 h, t = h.view(np.int64), names[a:b][owner]
                 order = np.lexsort((h, t))
-                h, t = h[order], t[order]
+                h, t, more = h[order], t[order], more[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
-                many = np.diff(np.concatenate([np.flatnonzero(new), [len(h)]])) > 1
+                at = np.flatnonzero(new)
+                many = (np.diff(np.concatenate([at, [len(h)]])) > 1) | np.logical_or.reduceat(more, at)
                 yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(t[new]), pa.array(many)], names=["h", "t", "many"])
 
     return run
@@ -178,10 +213,10 @@ def _repeated(inner: bool):
 def _contexts(kind: Kind):
     def run(batches):
         for batch in batches:
-            rest = [batch.column(k) for k in (1, 2, 3)]
+            rest = [batch.column(k) for k in (1, 2)]
             for a, b in slices(batch.column(0)):
-                h, first, last, owner, body = kind.anchors(*raw(batch.column(0).slice(a, b - a)))
-                lists = batch.column(4).slice(a, b - a)
+                h, first, last, owner, _, body = kind.anchors(*raw(batch.column(0).slice(a, b - a)))
+                lists = batch.column(3).slice(a, b - a)
                 sizes = np.diff(lists.offsets.to_numpy())
                 wanted, of = lists.flatten().to_numpy(), np.repeat(np.arange(b - a), sizes)
                 h = h.view(np.int64)
@@ -195,18 +230,18 @@ def _contexts(kind: Kind):
                 good = np.zeros(len(pairs), bool)
                 good[order] = has[group] if len(group) else False
                 take = np.flatnonzero(good[len(wanted) :])
-                t, u, doc = (c.slice(a, b - a).to_numpy(zero_copy_only=False)[owner[take]] for c in rest)
-                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(t), pa.array(u), pa.array(doc), pa.array(first[take]), pa.array([body(k) for k in take.tolist()], pa.binary())], names=["h", "t", "u", "doc", "base", "body"])
+                t, doc = (c.slice(a, b - a).to_numpy(zero_copy_only=False)[owner[take]] for c in rest)
+                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(t), pa.array(doc), pa.array(first[take]), pa.array([body(k) for k in take.tolist()], pa.binary())], names=["h", "t", "doc", "base", "body"])
 
     return run
 
 
-def _shards(kind: Kind, decide, width: int, limit: int):
+def _shards(kind: Kind, decide, limit: int):
     """decide(contexts: list[bytes], counts, owner, doc, base) -> mask of windows of each row's context, flat."""
 
     def spans(contexts, rows):
-        owner, t, u, doc, base = (np.array(x, np.int64) for x in rows)
-        many = np.array([len(c) // width - kind.size + 1 for c in contexts], np.int64)
+        owner, t, doc, base = (np.array(x, np.int64) for x in rows)
+        many = np.fromiter(map(kind.windows, contexts), np.int64, len(contexts))
         hit = decide(list(contexts), many, owner, doc, base)  # of each row, each window
         if not hit.any():
             return None
@@ -218,23 +253,23 @@ def _shards(kind: Kind, decide, width: int, limit: int):
         at = np.flatnonzero(edge)
         last = np.concatenate([at[1:], [len(row)]]) - 1
         a, b = base[row[at]] + offset[at], base[row[at]] + offset[last] + kind.size
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (t[row[at]], u[row[at]], a, b)], names=["t", "u", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (t[row[at]], doc[row[at]], a, b)], names=["t", "doc", "a", "b"])
 
     def run(batches):
         contexts: dict[bytes, int] = {}
-        rows: list[list] = [[] for _ in range(5)]
+        rows: list[list] = [[] for _ in range(4)]
         size, last = 0, None
         for batch in batches:
-            for h, t, u, doc, base, body in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+            for h, t, doc, base, body in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                 if h != last and size > limit:
                     if (found := spans(contexts, rows)) is not None:
                         yield found
-                    contexts, rows, size = {}, [[] for _ in range(5)], 0
+                    contexts, rows, size = {}, [[] for _ in range(4)], 0
                 last = h
                 at = contexts.setdefault(body, len(contexts))
                 if at == len(contexts) - 1:
                     size += len(body)
-                for column, v in zip(rows, (at, t, u, doc, base), strict=True):
+                for column, v in zip(rows, (at, t, doc, base), strict=True):
                     column.append(v)
         if rows[0] and (found := spans(contexts, rows)) is not None:
             yield found
@@ -242,18 +277,64 @@ def _shards(kind: Kind, decide, width: int, limit: int):
     return run
 
 
-def repeated_spans(found: DataFrame, kind: Kind, decide, width: int, inner: bool, limit: int) -> tuple[DataFrame, DataFrame]:
-    """found: texts(). Returns (t, u, first, copies) of each text and (t, u, spans) of texts with repeated symbols."""
+def _name_windows(kind: Kind):
+    """(h, c, c2, offset, w, w2) of every window of distinct contexts."""
+    other = np.uint64(0x94D049BB133111EB)
+
+    def run(batches):
+        for batch in batches:
+            rest = [batch.column(k) for k in range(5)]
+            for i, body in enumerate(batch.column(5).to_pylist()):
+                x = kind.symbols(body)
+                w, w2 = W.rolling(x, kind.size), W.rolling(W.mix(x ^ other), kind.size)
+                for lo in range(0, len(w), 10_000):
+                    n = len(w[lo : lo + 10_000])
+                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(np.full(n, i))) for c in rest], pa.array(np.arange(lo, lo + n)), pa.array(w[lo : lo + n].view(np.int64)), pa.array(w2[lo : lo + n].view(np.int64))], names=["h", "c", "c2", "at", "n", "offset", "w", "w2"])
+
+    return run
+
+
+def _hot_spans(rows: DataFrame, kind: Kind, rule) -> DataFrame:
+    """Spans of anchors with very many rows, exactly and without bringing an anchor's rows together: equal contexts are
+    aggregated before their shuffle, windows counted under 128-bit fingerprints, and the counts joined back."""
+    rows = rows.withColumns({"c": F.xxhash64("body"), "c2": F.xxhash64(F.lit(7), "body")})
+    contexts = rows.groupBy("h", "c", "c2").agg(F.first("body").alias("body"), F.min(F.struct("doc", "base")).alias("at"), F.count("*").alias("n"))
+    named = contexts.select("h", "c", "c2", "at", "n", "body").mapInArrow(_name_windows(kind), "h long, c long, c2 long, at struct<doc:long,base:long>, n long, offset long, w long, w2 long")
+    named = cut(named, "windows")
+    least = F.min(F.struct(F.col("at.doc").alias("doc"), (F.col("at.base") + F.col("offset")).alias("place"))).alias("least")
+    total = named.groupBy("w", "w2").agg(least, F.sum("n").alias("total")).where("total > 1")
+    found = named.select("h", "c", "c2", "offset", "w", "w2").join(total, ["w", "w2"])
+    found = found.groupBy("h", "c", "c2").agg(F.collect_list(F.struct("offset", "least", "total")).alias("ws"))  # of one context
+    hits = rows.select("h", "c", "c2", "t", "doc", "base").join(found, ["h", "c", "c2"]).select("t", "doc", "base", F.explode("ws").alias("x"))
+    place = F.col("base") + F.col("x.offset")
+    return hits.where(rule(F.col("x.least"), F.col("x.total"), F.col("doc"), place)).select("t", "doc", place.alias("a"), (place + kind.size).alias("b"))
+
+
+def repeated_spans(found: DataFrame, kind: Kind, decide, rule, inner: bool, limit: int, hot: int) -> DataFrame:
+    """found: texts(). Returns (t, u, first, copies, spans) of each text: its first document, how many rows have it, and
+    the spans of repeated symbols that decide finds, null where none. Joined with found on KEY, it shares one shuffle.
+    rule says the same as decide of anchors met in more than ``hot`` texts: (least (doc, place) of the window, how often
+    it occurs, doc, place) -> whether it goes."""
     classes = cut(found.groupBy("t", "u").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "classes")
     anchors = found.select("body", "t").mapInArrow(_emit(kind), "h long, t long, many boolean")
-    again = anchors.repartition("h").sortWithinPartitions("h", "t").mapInArrow(_repeated(inner), "h long, t long")
+    again = cut(anchors.repartition("h").sortWithinPartitions("h", "t").mapInArrow(_repeated(inner), "h long, t long"), "anchors")
     lists = again.groupBy("t").agg(F.collect_list("h").alias("hs"))  # of one text, at most its own anchors
-    own = lists.join(classes, "t").select("t", "u", F.col("first").alias("doc"), "hs")
-    parts = found.select("body", "t", "u", "doc").join(own, ["t", "u", "doc"]).select("body", "t", "u", "doc", "hs")
-    shipped = parts.mapInArrow(_contexts(kind), "h long, t long, u long, doc long, base long, body binary").repartition("h").sortWithinPartitions("h")
-    runs_ = shipped.mapInArrow(_shards(kind, decide, width, limit), "t long, u long, a long, b long")
-    spans = runs_.groupBy("t", "u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return classes, spans
+    own = lists.join(classes, "t").select("t", "u", "first", "hs")
+    # first is the least doc. All columns of the texts and KEY alone, so that Spark reuses this shuffle of them in the
+    # caller's join with the result
+    parts = found.join(own, KEY).where("doc <= first").select("body", "t", "doc", "hs", "doc_id")
+    shipped = parts.mapInArrow(_contexts(kind), "h long, t long, doc long, base long, body binary")
+    often = again.groupBy("h").agg(F.count("*").alias("texts")).where(F.col("texts") > hot).select("h")
+    more = None
+    if not often.isEmpty():
+        shipped, often = cut(shipped, "contexts"), cut(often, "often")
+        more = _hot_spans(shipped.join(often, "h", "left_semi"), kind, rule)
+        shipped = shipped.join(often, "h", "left_anti")
+    runs_ = shipped.repartition("h").sortWithinPartitions("h").mapInArrow(_shards(kind, decide, limit), "t long, doc long, a long, b long")
+    if more is not None:
+        runs_ = runs_.unionByName(more)
+    spans = runs_.groupBy("t", F.col("doc").alias("first")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return classes.join(spans, ["t", "first"], "left")
 
 
 def merged(spans) -> list[tuple[int, int]]:

@@ -18,13 +18,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import raw, slices
-from .passages import Bytes, merged, repeated_spans, texts
+from .passages import KEY, Bytes, merged, repeated_spans, texts
 
 SIZE = 400
 SHARD_BYTES = 2 << 20
+#: Texts of one anchor that a shard may gather, each with about 600 bytes of context.
+HOT = 20_000
 
 
 def prefix_ranks(data: np.ndarray, ends: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
@@ -113,14 +114,14 @@ def _finish(size: int, keep: str, outputs: tuple[str, ...]):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, keep: str = "first", outputs: tuple[str, ...] = ("kept", "spans"), shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, keep: str = "first", outputs: tuple[str, ...] = ("kept", "spans"), shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, and of outputs: kept binary, spans array<struct<start,end>> in bytes,
     kept_sha256) of every row. With keep="first", rows of equal doc_id and equal text all stay."""
     if keep not in ("first", "none"):
         raise ValueError(keep)
     found = texts(docs)
-    classes, spans = repeated_spans(found, Bytes(size), decide(size, keep), 1, True, shard_bytes)
-    info = classes.join(spans, ["t", "u"], "left")
-    whole = found.select("doc_id", "body", "doc", "t", "u").join(info, ["t", "u"]).select(F.col("doc_id").cast("long").alias("doc_id"), "body", "doc", "first", "copies", "spans")
+    rule = lambda least, total, doc, place: total > 1 if keep == "none" else (least["doc"] != doc) | (least["place"] != place)
+    info = repeated_spans(found, Bytes(size), decide(size, keep), rule, True, shard_bytes, hot)
+    whole = found.join(info, KEY).select("doc_id", "body", "doc", "first", "copies", "spans")
     sql = {"kept": "binary", "spans": "array<struct<start:long,end:long>>", "kept_sha256": "string"}
     return whole.mapInArrow(_finish(size, keep, outputs), "doc_id long, n_bytes long, n_removed long, n_spans long" + "".join(f", {c} {sql[c]}" for c in outputs))

@@ -95,9 +95,9 @@ def bytes_expected(rows, size, keep):
     return out
 
 
-@pytest.mark.parametrize(("size", "keep"), [(400, "none"), (60, "none"), (7, "none"), (60, "first")])
-def test_suffix_dedup(docs, corpus, size, keep):
-    found = suffix_dedup.remove_repeats(docs, size, keep, ("kept_sha256",), shard_bytes=5000)
+@pytest.mark.parametrize(("size", "keep", "hot"), [(400, "none", 3), (60, "none", 9999), (7, "none", 2), (60, "first", 9999), (60, "first", 3), (60, "first", 0)])
+def test_suffix_dedup(docs, corpus, size, keep, hot):
+    found = suffix_dedup.remove_repeats(docs, size, keep, ("kept_sha256",), shard_bytes=5000, hot=hot)
     assert Counter(map(tuple, found.collect())) == bytes_expected(corpus, size, keep)
 
 
@@ -131,9 +131,9 @@ def words_expected(rows, size):
     return out
 
 
-@pytest.mark.parametrize("size", [13, 3, 1])
-def test_fm_dedup(docs, corpus, size):
-    found = fm_dedup.remove_repeats(docs, size, ("kept_sha256",), shard_bytes=4000)
+@pytest.mark.parametrize(("size", "hot"), [(13, 9999), (13, 3), (13, 0), (3, 9999), (3, 4), (1, 9999)])
+def test_fm_dedup(docs, corpus, size, hot):
+    found = fm_dedup.remove_repeats(docs, size, ("kept_sha256",), shard_bytes=4000, hot=hot)
     assert Counter(map(tuple, found.collect())) == words_expected(corpus, size)
 
 
