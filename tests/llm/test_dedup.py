@@ -208,3 +208,33 @@ def test_e8_recall_on_pairs_at_the_threshold():
     y = 0.9 * x + np.sqrt(0.19) * z
     a, b = e8.cells(x), e8.cells(y)
     assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) > 0.99
+
+
+@pytest.mark.parametrize(("per_block", "blocks"), [(20, 2), (1, 3)])
+def test_e8_larger_tables_lose_no_links(spark, monkeypatch, per_block, blocks):
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((150, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((150, 64))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9001 * x + np.sqrt(1 - 0.9001**2) * z
+    monkeypatch.setattr(e8, "PER_BLOCK", per_block)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    found = e8.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(k, 1, k % 150) for k in range(300)}
+    assert e8.layout(300) == blocks
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+@pytest.mark.parametrize("dim", [8, 64, 384])
+def test_e8_recall_of_each_layout(blocks, dim):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((2000, dim))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9 * x + np.sqrt(0.19) * z
+    a, b = (e8.cells(v, e8.TABLES_AT[blocks], blocks=blocks) for v in (x, y))
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) > 0.999
