@@ -4,13 +4,17 @@ A document's set is its distinct n-word shingles. Equal sets are one class, join
 into ``trees`` independent trees: a tree's root branches by the least token under its own hash; small nodes are compared
 exhaustively on whole sets; larger ones branch again by further chosen minwise tokens (two a node, each kept by a linked
 pair with probability 0.75 or more), and nodes that do not shrink are compared exhaustively after a number of levels.
-A pair at the threshold is missed by one root with probability 0.25, by all with 0.25 ** trees. A node returns a spanning
+A pair at the threshold is missed by one root with probability 0.25, by all with 0.25 ** trees = 2.4e-7. A branched node
+keeps it with probability 1 - (1 - 0.75 q) ** 2, where q is that of its children: 0.94 after one level, 0.89 after any
+number; every tree and level has hash functions of its own, so where all roots branch it is missed with probability
+(1 - 0.75 * 0.89) ** trees = 6e-6. A node returns a spanning
 forest of its confirmed links, never all its pairs, and components of these are components of all links found. Of nodes with the same classes one is
 compared.
 
 Scale: texts are shuffled once, and only classes in nodes of two or more go on from there. Nodes of more than
 ``node_rows`` classes are branched by Spark, level by level, before any task gets them; what is still larger after
-``levels`` is compared in pairs of salted blocks, so no task holds more than two blocks, and nothing is dropped.
+``levels`` is compared in pairs of salted blocks, so no task holds more than two blocks, and nothing is dropped. The
+minima that branch come from the sets again, of classes in large nodes only.
 
 Defined results: null or word-less text: empty set, linked with nothing; fewer than n words: the whole sequence is the
 one shingle; rows with a null doc_id are linked with nothing, component_id null and kept true; rows that share a doc_id
@@ -30,12 +34,12 @@ from . import words as W
 from .common import cut, raw, ready, slices, text_bytes
 from .components import components
 
-SHINGLE, PERCENT, TREES = 5, 75, 8
+SHINGLE, PERCENT, TREES = 5, 75, 11
 #: A node of so many rows, with so many tokens in all, is compared exhaustively at once.
 LEAF_ROWS, LEAF_TOKENS = 2048, 4_000_000
 NODE_ROWS, LEVELS = 4096, 8
-#: Minima kept of each class: of the trees' roots and for branching before sets are shipped.
-MINIMA = 24
+#: Hash functions: of the roots; from BRANCHES on two for each tree and level; from INNER on those of compare().
+BRANCHES, INNER = 64, 2048
 U = np.uint64
 _rng = np.random.default_rng(0xC0FFEE)
 _MUL = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64) * U(2) + U(1)
@@ -70,18 +74,20 @@ def chain(*parts: int) -> int:
     return x - (1 << 63)
 
 
-def minima(tokens: np.ndarray, many: int) -> np.ndarray:
-    """The least token of a non-empty set under each of the first hash functions."""
+def minima(tokens: np.ndarray, many: int, first: int = 0) -> np.ndarray:
+    """The least token of a non-empty set under each of so many hash functions from the first on."""
+    mul, add = _MUL[first : first + many, None], _ADD[first : first + many, None]
     best = np.full(many, 2**64 - 1, np.uint64)
     for k in range(0, len(tokens), 4096):
         part = tokens[k : k + 4096]
-        best = np.minimum(best, (part[None, :] * _MUL[:many, None] + _ADD[:many, None]).min(axis=1))
+        best = np.minimum(best, (part[None, :] * mul + add).min(axis=1))
     return best.view(np.int64)
 
 
-def chosen(node: int, branches: int = 2) -> list[int]:
-    """Which hash functions a node branches by; those of the roots are left out."""
-    return [64 + (node * 0x9E3779B97F4A7C15 + k * 0x1000193 >> 20) % 4000 for k in range(branches)]
+def chosen(node: int) -> list[int]:
+    """Which two hash functions a node branches by; those of the roots and of branches before sets are shipped are left out."""
+    x, many = node * 0x9E3779B97F4A7C15 >> 20, len(_MUL) - INNER
+    return [INNER + x % many, INNER + (x + 1 + (x >> 16) % (many - 1)) % many]
 
 
 def packed(tokens: np.ndarray) -> bytes:
@@ -194,6 +200,13 @@ def _ship(doc, s, own):
         yield doc, x["node"], x["dense"], body
 
 
+def _branches(many: int):
+    def make(doc, s, _):
+        yield doc, minima(s, many, BRANCHES).tolist()
+
+    return make
+
+
 def _compare_nodes(percent: int):
     names, kinds = ["a", "b"], [pa.int64(), pa.int64()]
 
@@ -236,8 +249,9 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
     text = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("body"))
     names = classes.select("rep", "digest")
     roots = classes.select("rep", F.posexplode(F.slice("minima", 1, trees)).alias("tree", "least"))
-    rows = roots.select("rep", F.xxhash64("tree", "least").alias("node"))
+    rows = roots.select("rep", "tree", F.xxhash64("tree", "least").alias("node"))
     done: DataFrame | None = None
+    keys: DataFrame | None = None
     for level in range(levels + 1):
         counts = cut(_shared(rows), "nodes")
         most = counts.agg(F.max("rows").alias("m")).first()["m"] or 0
@@ -253,10 +267,15 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
             pair = big.select("rep", "node", c.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("d"))
             done = done.unionByName(pair.select("rep", F.xxhash64("node", F.least("c", "d"), F.greatest("c", "d")).alias("node"), F.lit(True).alias("dense")))
             break
-        # a node branches by two of its classes' minima, which its name chooses
-        at = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(MINIMA)) for k in range(2)]
-        child = F.explode(F.array_distinct(F.array(*[F.xxhash64("node", p, F.element_at("minima", (p + 1).cast("int"))) for p in at])))
-        rows = cut(big.join(classes.select("rep", "minima"), "rep").select("rep", child.alias("node")), "branch")
+        if keys is None:
+            hot = big.select("rep").distinct().join(names, "rep")
+            own = text.join(hot, "rep").select("rep", "body", "digest", F.lit(None).cast("long").alias("nodes"))
+            many = 2 * trees * levels
+            keys = cut(own.mapInArrow(_sets_of(n, _branches(many), ["rep", "keys"], [pa.int64(), pa.list_(pa.int64())]), "rep long, keys array<long>").dropDuplicates(["rep"]), "keys")
+        # a node branches by the two hash functions of its tree and level
+        at = [2 * (F.col("tree") * levels + level) + k for k in range(2)]
+        child = F.explode(F.array(*[F.xxhash64("node", F.lit(k), F.element_at("keys", (p + 1).cast("int"))) for k, p in enumerate(at)]))
+        rows = cut(big.join(keys, "rep").select("rep", "tree", child.alias("node")), "branch")
     flat = done.select("rep", F.struct("node", "dense").alias("x"))
     own = flat.groupBy("rep").agg(F.collect_list("x").alias("nodes")).join(names, "rep")
     shipped = text.join(own, "rep").select("rep", "body", "digest", "nodes").mapInArrow(_sets_of(n, _ship, ["rep", "node", "dense", "body"], [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]), "rep long, node long, dense boolean, body binary")
@@ -267,9 +286,9 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     ready(docs)
-    if trees > MINIMA:
-        raise ValueError(f"{MINIMA} trees at most")
-    sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(_sketch(n, MINIMA), "doc_id long, n_shingles long, digest binary, minima array<long>")
+    if trees > BRANCHES or BRANCHES + 2 * trees * levels > INNER:
+        raise ValueError(f"{BRANCHES} trees at most, and {(INNER - BRANCHES) // 2} trees times levels")
+    sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(_sketch(n, trees), "doc_id long, n_shingles long, digest binary, minima array<long>")
     sketch = cut(sketch, "sketch")
     real = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima")), "classes")

@@ -66,6 +66,22 @@ def test_compare_branches_without_losing_links(monkeypatch):
         assert 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
 
 
+def test_branches_of_trees_and_levels_are_independent(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_shared", lambda nodes, *_: nodes.groupBy("node").count().withColumnRenamed("count", "rows").where("rows > 1"))
+    rows = []
+    for k in range(1500):  # two sets of seven words, six of them shared: similarity 0.75
+        shared = " ".join(f"w{k}x{j}" for j in range(6))
+        rows += [(k, f"{shared} a{k}"), (k + 1500, f"{shared} b{k}")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=1, node_rows=1, levels=4).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(k, k % 1500) for k in range(3000)}
+
+
+def test_hash_functions_differ_by_use():
+    for node in np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 2000).tolist():
+        a, b = minhash.chosen(node)
+        assert a != b and min(a, b) >= minhash.BRANCHES + 2 * minhash.TREES * minhash.LEVELS
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1500), (1500, 1200), (7000, 7000), (5, 5)]
     found = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
