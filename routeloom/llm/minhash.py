@@ -9,7 +9,7 @@ keeps it with probability 1 - (1 - 0.75 q) ** 2, where q is that of its children
 number; every tree and level has hash functions of its own, so where all roots branch it is missed with probability
 (1 - 0.75 * 0.89) ** trees = 6e-6. A node returns a spanning
 forest of its confirmed links, never all its pairs, and components of these are components of all links found. Of nodes with the same classes one is
-compared.
+compared, where it is compared exhaustively; nodes that branch further all do.
 
 Scale: texts are shuffled once, and only classes in nodes of two or more go on from there. Nodes of more than
 ``node_rows`` classes are branched by Spark, level by level, before any task gets them; what is still larger after
@@ -35,7 +35,7 @@ from .common import cut, raw, ready, slices, text_bytes
 from .components import components
 
 SHINGLE, PERCENT, TREES = 5, 75, 11
-#: A node of so many rows, with so many tokens in all, is compared exhaustively at once.
+#: A node of so many rows is compared exhaustively at once, in blocks of about so many tokens.
 LEAF_ROWS, LEAF_TOKENS = 2048, 4_000_000
 NODE_ROWS, LEVELS = 4096, 8
 #: Hash functions: of the roots; from BRANCHES on two for each tree and level; from INNER on those of compare().
@@ -109,6 +109,32 @@ def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, in
     if n == 2:
         both = int(sizes.sum()) - len(np.unique(np.concatenate(sets)))
         return [(0, 1)] if 100 * both >= percent * (int(sizes.sum()) - both) else []
+    inter = np.zeros((n, n), np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64)
+    for part in _token_blocks(sets, int(sizes.sum())):
+        _add_shared(inter, part)
+    linked = np.empty((n, n), bool)
+    for lo in range(0, n, 512):
+        both = inter[lo : lo + 512].astype(np.float64)
+        linked[lo : lo + 512] = 100 * both >= percent * (sizes[lo : lo + 512, None] + sizes[None, :] - both)
+    return spanning(linked)
+
+
+def _token_blocks(sets: list[np.ndarray], total: int):
+    """The sorted sets cut at the same tokens, so that a block has about LEAF_TOKENS tokens."""
+    many = -(-total // LEAF_TOKENS)
+    if many <= 1:
+        yield sets
+        return
+    some = np.sort(np.concatenate([s[:: 1 + total // 65_536] for s in sets]))
+    edges = np.unique(some[len(some) * np.arange(1, many) // many])
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    for k in range(len(edges) + 1):
+        yield [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+
+
+def _add_shared(inter: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Add the numbers of tokens that pairs of sets share."""
+    n, sizes = len(sets), [len(s) for s in sets]
     tokens, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), sizes)
     shared = count > 1
@@ -117,15 +143,12 @@ def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, in
     place, owner = rank[place[keep]], owner[keep]
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
-    inter = np.zeros((n, n), np.float32)
     width = 2048
     for lo in range(0, int(place[-1]) + 1 if len(place) else 0, width):
         a, b = np.searchsorted(place, [lo, lo + width])
         dense = np.zeros((n, min(width, int(place[b - 1]) - lo + 1)), np.float32)
         dense[owner[a:b], place[a:b] - lo] = 1
         inter += dense @ dense.T
-    linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
-    return spanning(linked)
 
 
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -148,7 +171,7 @@ def compare(ids: list[int], sets: list[np.ndarray], node: int, dense: bool, perc
     """Links among the rows of a node."""
     if len(ids) < 2:
         return []
-    if dense or level >= LEVELS or len(ids) <= LEAF_ROWS and sum(map(len, sets)) <= LEAF_TOKENS:
+    if dense or level >= LEVELS or len(ids) <= LEAF_ROWS:
         return [(ids[a], ids[b]) for a, b in forest(sets, percent)]
     out = []
     for f in chosen(node):
@@ -237,11 +260,14 @@ def _compare_nodes(percent: int):
     return run
 
 
-def _shared(nodes: DataFrame) -> DataFrame:
-    """(node, rows) of nodes with two classes or more; of nodes with the same classes, as trees often make, one."""
+def _shared(nodes: DataFrame, node_rows: int, last: bool) -> DataFrame:
+    """(node, rows) of nodes with two classes or more; of nodes with the same classes, as trees often make, one, unless
+    they are branched: here up to the last level, or in compare()."""
     members = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"m{k}") for k in range(2)]
     counts = nodes.groupBy("node").agg(F.count("*").alias("rows"), *members).where("rows > 1")
-    return counts.groupBy("rows", "m0", "m1").agg(F.min("node").alias("node")).select("node", "rows")
+    whole = (F.col("rows") <= min(LEAF_ROWS, node_rows)) | ((F.col("rows") > node_rows) & F.lit(last))
+    own = F.when(whole, F.lit(0)).otherwise(F.col("node")).alias("own")
+    return counts.groupBy("rows", "m0", "m1", own).agg(F.min("node").alias("node")).select("node", "rows")
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
@@ -253,7 +279,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
     done: DataFrame | None = None
     keys: DataFrame | None = None
     for level in range(levels + 1):
-        counts = cut(_shared(rows), "nodes")
+        counts = cut(_shared(rows, node_rows, level == levels), "nodes")
         most = counts.agg(F.max("rows").alias("m")).first()["m"] or 0
         small = rows.join(counts.where(F.col("rows") <= node_rows).select("node"), "node").select("rep", "node", F.lit(False).alias("dense"))
         done = small if done is None else done.unionByName(small)

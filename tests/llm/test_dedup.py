@@ -82,6 +82,34 @@ def test_hash_functions_differ_by_use():
         assert a != b and min(a, b) >= minhash.BRANCHES + 2 * minhash.TREES * minhash.LEVELS
 
 
+def test_long_sets_are_compared_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 48, 700, dtype=np.uint64)) for _ in range(30)]
+    for _ in range(60):
+        s = sets[rng.integers(30)]
+        sets.append(np.unique(np.concatenate([rng.choice(s, 605, replace=False), rng.integers(0, 1 << 48, 95, dtype=np.uint64)])))
+    whole = minhash.forest(sets)
+    monkeypatch.setattr(minhash, "LEAF_TOKENS", 1000)
+    assert minhash.forest(sets) == whole and len(whole) > 40
+    for k, (a, b) in enumerate(whole):  # two sets alone in a node
+        assert minhash.compare([5, 9], [sets[a], sets[b]], 17 + k, False) == [(5, 9)]
+
+
+def test_equal_nodes_that_branch_all_stay(spark):
+    nodes = spark.createDataFrame([(rep, node) for node in (1, 2, 3) for rep in (10, 11, 12)], "rep long, node long")
+    kept = lambda *knobs: sorted(r.node for r in minhash._shared(nodes, *knobs).collect())
+    assert kept(2, False) == [1, 2, 3] and kept(3, False) == [1] and kept(2, True) == [1]
+
+
+def test_pair_whose_nodes_all_branch(spark):
+    rows = []
+    for k in range(300):  # similarity 0.75
+        shared = " ".join(f"w{k}x{j}" for j in range(6))
+        rows += [(k, f"{shared} a{k}"), (k + 300, f"{shared} b{k}")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=1, node_rows=1, levels=3).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(k, k % 300) for k in range(600)}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1500), (1500, 1200), (7000, 7000), (5, 5)]
     found = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
