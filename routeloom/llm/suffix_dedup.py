@@ -1,4 +1,4 @@
-"""Substring dedup with suffix order and longest-previous-factor arrays.
+"""Substring dedup by classes of equal prefixes, in place of longest-previous-factor arrays.
 
 Shards hold the contexts that may repeat (see passages). In a shard, starts are put in suffix order on their first
 ``size`` bytes by rank doubling, dropping at each doubling the starts whose prefix is unique. Equal ranks are equal
