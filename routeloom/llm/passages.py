@@ -1,16 +1,25 @@
 """Routing of repeated passages: the shared front of the suffix-array and the FM-index operators.
 
-A passage of ``size`` symbols (bytes or words) repeats elsewhere only if its minimizer, the least fingerprint of its
+A passage of ``route`` symbols (bytes or words) repeats elsewhere only if its minimizer, the least fingerprint of its
 ``gram``-symbol grams, repeats with it. So every run of windows with one minimizer becomes an anchor; anchors found in
 one text only are dropped; the others ship their context, the symbols their windows span, to the shard that the
-fingerprint names. There an exact method decides; fingerprints only route.
+fingerprint names. There the operator's own method decides on the content; fingerprints only route.
 
-Scale: anchors are 16 bytes each and few (2 in ``size - gram + 2`` symbols); a text is shuffled once to the list of its
+Scale: anchors are 25 bytes each and few (2 in ``route - gram + 2`` symbols); a text is shuffled once to the list of its
 repeated anchors and once to its result. Exact copies of a text are one text here: their passages do not meet.
+
+Hot anchors: those that a sample of the texts shows in very many are known to repeat and are spread over all tasks in
+place of meeting in one. Equal contexts are aggregated before they are shuffled. An anchor with more than ``hot``
+distinct contexts is split: its windows are dealt by where the anchor stands in them, in steps that get finer, and by
+the symbols that all windows of a step have in common, so that equal windows still meet, and the last step brings only
+equal windows together, which are one context. So no task gathers an anchor of a large share of all texts, every window
+is decided by the same method, and ``hot`` changes no result. The sample is a hint for this only.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +30,8 @@ from .common import cut, raw, ready, slices, text_bytes
 
 LAST = (1 << 63) - 1
 KEY = ["t", "u"]
+#: One text of so many is looked at for hot anchors; of these so many at most are spread, the most frequent ones.
+SAMPLE, HINTS = 64, 100_000
 
 
 def texts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,37 +89,50 @@ def joined(h: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray
 
 
 class Kind:
-    """How a text becomes symbols. anchors() gives fingerprints and window runs of a slice of texts."""
+    """How a text becomes symbols. Windows of ``route`` symbols are routed; contexts go on to ``size`` symbols from their
+    last window's start, or to the end of the text."""
 
     size: int
+    route: int
+    gram: int
 
-    def windows(self, context: bytes) -> int:
-        """How many windows a context has."""
+    def split(self, context: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A context's symbols: where each starts and ends."""
         raise NotImplementedError
 
-    def symbols(self, context: bytes) -> np.ndarray:
-        """A context's symbols as 64-bit numbers."""
+    def values(self, context: bytes) -> np.ndarray:
+        """Fingerprints of all grams of a context."""
         raise NotImplementedError
 
     def anchors(self, data: np.ndarray, offsets: np.ndarray):
         """(fingerprint, first start, last start, text, whether met again within) arrays and a function place -> bytes
-        of the symbols of its windows; starts count from the text's first symbol."""
+        of its context; starts count from the text's first symbol."""
         raise NotImplementedError
 
+    def steps(self) -> list[int]:
+        """How many places of the anchor a piece of a hot anchor's windows spans, level by level."""
+        out, width = [], self.route - self.gram + 1
+        while not out or out[-1] > 1:
+            width = max(1, width // 8)
+            out.append(width)
+        return out
+
 
 class Bytes(Kind):
     GRAM = 32
 
-    def __init__(self, size: int):
-        self.size, self.gram = size, min(self.GRAM, size)
+    def __init__(self, size: int, route: int | None = None):
+        self.size, self.route = size, min(route or size, size)
+        self.gram = min(self.GRAM, self.route)
 
-    def windows(self, context):
-        return len(context) - self.size + 1
+    def split(self, context):
+        at = np.arange(len(context))
+        return at, at + 1
 
-    def symbols(self, context):
-        return W.BYTE[np.frombuffer(context, np.uint8)]
+    def values(self, context):
+        return self._grams(np.frombuffer(context, np.uint8))
 
-    def anchors(self, data, offsets):
+    def _grams(self, data):
         n = len(data)
         values = W.BYTE[data]
         span = 1
@@ -121,38 +145,46 @@ class Bytes(Kind):
         if span < self.gram and len(values) > self.gram - span:
             extra = self.gram - span
             values = values[:-extra] * np.uint64(0xD6E8FEB86659FD93) + values[extra:]
-        values = W.mix(values) if n >= self.gram else values[:0]
-        at, first, last, owner = runs(values, self.size - self.gram + 1, offsets[:-1], offsets[1:], self.size)
+        return W.mix(values) if n >= self.gram else values[:0]
+
+    def anchors(self, data, offsets):
+        values = self._grams(data)
+        at, first, last, owner = runs(values, self.route - self.gram + 1, offsets[:-1], offsets[1:], self.route)
         h, first, last, owner, more = joined(values[at], first, last, owner)
         body = data.tobytes()
-        base = offsets[owner]
-        return h, first - base, last - base, owner, more, lambda k: body[first[k] : last[k] + self.size]
+        base, ends = offsets[owner], np.minimum(last + self.size, offsets[owner + 1])
+        return h, first - base, last - base, owner, more, lambda k: body[first[k] : ends[k]]
 
 
 class Words(Kind):
     GRAM = 5
 
     def __init__(self, size: int):
-        self.size, self.gram = size, min(self.GRAM, size)
+        self.size = self.route = size
+        self.gram = min(self.GRAM, size)
 
-    def windows(self, context):
-        return context.count(b" ") + 2 - self.size
+    def split(self, context):
+        data = np.frombuffer(context, np.uint8)
+        return W.bounds(data, np.array([0, len(data)]), W.PLAIN)[:2]
 
-    def symbols(self, context):
+    def values(self, context):
         data = np.frombuffer(context, np.uint8)
-        return W.hashes(data, *W.bounds(data, np.array([0, len(data)]), W.PLAIN)[:2])
+        return W.windows(W.hashes(data, *self.split(context)), self.gram)
 
     def anchors(self, data, offsets):
         starts, ends, at = W.bounds(data, offsets, W.PLAIN)
         h = W.hashes(data, starts, ends)
         values = W.windows(h, self.gram)
-        place, first, last, owner = runs(values, self.size - self.gram + 1, at[:-1], at[1:], self.size)
+        place, first, last, owner = runs(values, self.route - self.gram + 1, at[:-1], at[1:], self.route)
         h64, first, last, owner, more = joined(values[place], first, last, owner)
         body, base = data.tobytes(), at[owner]
         return h64, first - base, last - base, owner, more, lambda k: b" ".join(body[starts[first[k]] : ends[last[k] + self.size - 1]].split())
 
 
-def _emit(kind: Kind):
+def _emit(kind: Kind, inner: bool, hints: np.ndarray):
+    """(h, t, sure, p) of the distinct anchors of each text. sure: the anchor is known to repeat, as one of the hints or,
+    if inner, in the text itself; p deals the rows: by anchor, those of the hints by text."""
+
     def run(batches):
         for batch in batches:
             names = batch.column(1).to_numpy(zero_copy_only=False)
@@ -165,49 +197,46 @@ def _emit(kind: Kind):
                 h, t, more = h[order], t[order], more[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
                 at = np.flatnonzero(new)
-                many = (np.diff(np.concatenate([at, [len(h)]])) > 1) | np.logical_or.reduceat(more, at)
-                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(t[new]), pa.array(many)], names=["h", "t", "many"])
+                sure = (np.diff(np.concatenate([at, [len(h)]])) > 1) | np.logical_or.reduceat(more, at) if inner else np.zeros(len(at), bool)
+                h, t = h[new], t[new]
+                place = np.searchsorted(hints, h)
+                hot = hints[np.minimum(place, len(hints) - 1)] == h if len(hints) else np.zeros(len(h), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(t), pa.array(sure | hot), pa.array(np.where(hot, t, h))], names=["h", "t", "sure", "p"])
 
     return run
 
 
-def _repeated(inner: bool):
-    """From rows sorted by h (and t) those whose h is in several texts (or, if inner, several times in one)."""
-
-    def run(batches):
-        held = None  # the first row of the last h, not yet given out, and whether that h is known to repeat
-        known, last = False, None
-        for batch in batches:
-            h, t, many = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not len(h):
-                continue
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            at = np.flatnonzero(new)
-            low, high = np.minimum.reduceat(t, at), np.maximum.reduceat(t, at)
-            again = low != high
-            if inner:
-                again |= np.logical_or.reduceat(many, at)
-            out_h, out_t = [], []
-            if last is not None and h[0] == last:
-                again[0] |= known or bool((t[: at[1] if len(at) > 1 else len(t)] != held[1]).any())
-                if again[0] and not known:
-                    out_h.append([held[0]])
-                    out_t.append([held[1]])
-                carried = True
-            else:
-                carried = False
-            mask = np.repeat(again, np.diff(np.concatenate([at, [len(h)]])))
-            mask[1:] &= new[1:] | (t[1:] != t[:-1])  # copies of a text say the same
-            out_h.append(h[mask])
-            out_t.append(t[mask])
-            if not (carried and len(at) == 1 and not again[0]):
-                held = (h[-1], t[at[-1]])
-            known, last = bool(again[-1]), h[-1]
-            found = np.concatenate(out_h), np.concatenate(out_t)
-            if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64))], names=["h", "t"])
-
-    return run
+def _repeated(batches):
+    """From rows sorted by h (and t) those whose h is in several texts, or sure to repeat."""
+    held = None  # the first row of the last h, not yet given out, and whether that h is known to repeat
+    known, last = False, None
+    for batch in batches:
+        h, t, sure = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        if not len(h):
+            continue
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        at = np.flatnonzero(new)
+        low, high = np.minimum.reduceat(t, at), np.maximum.reduceat(t, at)
+        again = (low != high) | np.logical_or.reduceat(sure, at)
+        out_h, out_t = [], []
+        if last is not None and h[0] == last:
+            again[0] |= known or bool((t[: at[1] if len(at) > 1 else len(t)] != held[1]).any())
+            if again[0] and not known:
+                out_h.append([held[0]])
+                out_t.append([held[1]])
+            carried = True
+        else:
+            carried = False
+        mask = np.repeat(again, np.diff(np.concatenate([at, [len(h)]])))
+        mask[1:] &= new[1:] | (t[1:] != t[:-1])  # copies of a text say the same
+        out_h.append(h[mask])
+        out_t.append(t[mask])
+        if not (carried and len(at) == 1 and not again[0]):
+            held = (h[-1], t[at[-1]])
+        known, last = bool(again[-1]), h[-1]
+        found = np.concatenate(out_h), np.concatenate(out_t)
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64))], names=["h", "t"])
 
 
 def _contexts(kind: Kind):
@@ -231,109 +260,147 @@ def _contexts(kind: Kind):
                 good[order] = has[group] if len(group) else False
                 take = np.flatnonzero(good[len(wanted) :])
                 t, doc = (c.slice(a, b - a).to_numpy(zero_copy_only=False)[owner[take]] for c in rest)
-                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(t), pa.array(doc), pa.array(first[take]), pa.array([body(k) for k in take.tolist()], pa.binary())], names=["h", "t", "doc", "base", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(t), pa.array(doc), pa.array(first[take]), pa.array((last - first + 1)[take]), pa.array([body(k) for k in take.tolist()], pa.binary())], names=["g", "t", "doc", "base", "many", "body"])
 
     return run
 
 
-def _shards(kind: Kind, decide, limit: int):
-    """decide(contexts: list[bytes], counts, owner, doc, base) -> mask of windows of each row's context, flat."""
+def _pieces(kind: Kind, step: int):
+    """(g, c, c2, new_g, delta, many, body, n, doc, base, top): the contexts of hot anchors cut into pieces. A piece's
+    windows have their anchor in one of ``step`` places; its name is made of the symbols that all such windows share."""
+    names = ["g", "c", "c2", "new_g", "delta", "many", "body", "n", "doc", "base", "top"]
+    kinds = [pa.int64()] * 6 + [pa.binary()] + [pa.int64()] * 4
 
-    def spans(contexts, rows):
-        owner, t, doc, base = (np.array(x, np.int64) for x in rows)
-        many = np.fromiter(map(kind.windows, contexts), np.int64, len(contexts))
-        hit = decide(list(contexts), many, owner, doc, base)  # of each row, each window
-        if not hit.any():
-            return None
-        reps = many[owner]
-        row = np.repeat(np.arange(len(owner)), reps)
-        offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        row, offset = row[hit], offset[hit]
-        edge = np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)])
-        at = np.flatnonzero(edge)
-        last = np.concatenate([at[1:], [len(row)]]) - 1
-        a, b = base[row[at]] + offset[at], base[row[at]] + offset[last] + kind.size
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (t[row[at]], doc[row[at]], a, b)], names=["t", "doc", "a", "b"])
+    def named(g: int, q: int, part: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(part, digest_size=8, key=f"{g}/{q}".encode()).digest(), "little", signed=True)
 
     def run(batches):
-        contexts: dict[bytes, int] = {}
-        rows: list[list] = [[] for _ in range(4)]
-        size, last = 0, None
         for batch in batches:
-            for h, t, doc, base, body in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if h != last and size > limit:
-                    if (found := spans(contexts, rows)) is not None:
-                        yield found
-                    contexts, rows, size = {}, [[] for _ in range(4)], 0
-                last = h
-                at = contexts.setdefault(body, len(contexts))
-                if at == len(contexts) - 1:
-                    size += len(body)
-                for column, v in zip(rows, (at, t, doc, base), strict=True):
-                    column.append(v)
-        if rows[0] and (found := spans(contexts, rows)) is not None:
-            yield found
+            out: list[list] = [[] for _ in names]
+            for g, c, c2, many, body, n, doc, base, top in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                starts, ends = kind.split(body)
+                best = minimizers(kind.values(body), kind.route - kind.gram + 1)[:many]
+                q = (best - np.arange(many)) // step
+                edge = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (q[1:] != q[:-1])]))
+                for i, j in zip(edge.tolist(), [*edge[1:].tolist(), many], strict=True):
+                    lo, hi = best[i] - q[i] * step, best[i] - (q[i] + 1) * step + kind.route  # shared by the piece's windows
+                    whole = body[starts[i] : ends[min(j - 1 + kind.size, len(ends)) - 1]]
+                    parts = [(body[starts[lo] : ends[hi]], whole)]
+                    if step == 1 and kind.route < kind.size:  # equal windows of either length are one context then
+                        short = body[starts[i] : ends[i + kind.route - 1]]
+                        parts = [(short, short), (whole, whole)] if short != whole else [(short, short)]
+                    for key, part in parts:
+                        for column, v in zip(out, (g, c, c2, named(g, int(q[i]), key), i, j - i, part, n, doc, base + i, top), strict=True):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
-def _name_windows(kind: Kind):
-    """(h, c, c2, offset, w, w2) of every window of distinct contexts."""
-    other = np.uint64(0x94D049BB133111EB)
+RUNS = ["g", "c", "c2", "kind", "a", "b", "from_doc", "from_place"]
+
+
+def _shards(decide, limit: int):
+    """decide(contexts, many, n, doc, base, top) -> (context, kind, a, b, from_doc, from_place) arrays: runs of symbols,
+    counted within the context, that are repeated, and where their first copy is. Contexts come in order of (doc, base),
+    the place of their first copy; n: how many copies there are; top: the greatest document of one; many: windows."""
+
+    def found(rows):
+        order = sorted(range(len(rows[0])), key=lambda k: (rows[6][k], rows[7][k]))
+        ids, rest = [np.array(x, np.int64)[order] for x in rows[:3]], [np.array(x, np.int64)[order] for x in (rows[3], *rows[5:])]
+        at, *runs_ = decide([rows[4][k] for k in order], *rest)
+        if not len(at):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in [*(x[at] for x in ids), *(np.asarray(x, np.int64) for x in runs_)]], names=RUNS)
 
     def run(batches):
+        rows: list[list] = [[] for _ in range(9)]
+        size, last = 0, None
         for batch in batches:
-            rest = [batch.column(k) for k in range(5)]
-            for i, body in enumerate(batch.column(5).to_pylist()):
-                x = kind.symbols(body)
-                w, w2 = W.rolling(x, kind.size), W.rolling(W.mix(x ^ other), kind.size)
-                for lo in range(0, len(w), 10_000):
-                    n = len(w[lo : lo + 10_000])
-                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(np.full(n, i))) for c in rest], pa.array(np.arange(lo, lo + n)), pa.array(w[lo : lo + n].view(np.int64)), pa.array(w2[lo : lo + n].view(np.int64))], names=["h", "c", "c2", "at", "n", "offset", "w", "w2"])
+            for row in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if row[0] != last and size > limit:
+                    if (made := found(rows)) is not None:
+                        yield made
+                    rows, size = [[] for _ in range(9)], 0
+                last = row[0]
+                size += len(row[4])
+                for column, v in zip(rows, row, strict=True):
+                    column.append(v)
+        if rows[0] and (made := found(rows)) is not None:
+            yield made
 
     return run
 
 
-def _hot_spans(rows: DataFrame, kind: Kind, rule) -> DataFrame:
-    """Spans of anchors with very many rows, exactly and without bringing an anchor's rows together: equal contexts are
-    aggregated before their shuffle, windows counted under 128-bit fingerprints, and the counts joined back."""
-    rows = rows.withColumns({"c": F.xxhash64("body"), "c2": F.xxhash64(F.lit(7), "body")})
-    contexts = rows.groupBy("h", "c", "c2").agg(F.first("body").alias("body"), F.min(F.struct("doc", "base")).alias("at"), F.count("*").alias("n"))
-    named = contexts.select("h", "c", "c2", "at", "n", "body").mapInArrow(_name_windows(kind), "h long, c long, c2 long, at struct<doc:long,base:long>, n long, offset long, w long, w2 long")
-    named = cut(named, "windows")
-    least = F.min(F.struct(F.col("at.doc").alias("doc"), (F.col("at.base") + F.col("offset")).alias("place"))).alias("least")
-    total = named.groupBy("w", "w2").agg(least, F.sum("n").alias("total")).where("total > 1")
-    found = named.select("h", "c", "c2", "offset", "w", "w2").join(total, ["w", "w2"])
-    found = found.groupBy("h", "c", "c2").agg(F.collect_list(F.struct("offset", "least", "total")).alias("ws"))  # of one context
-    hits = rows.select("h", "c", "c2", "t", "doc", "base").join(found, ["h", "c", "c2"]).select("t", "doc", "base", F.explode("ws").alias("x"))
-    place = F.col("base") + F.col("x.offset")
-    return hits.where(rule(F.col("x.least"), F.col("x.total"), F.col("doc"), place)).select("t", "doc", place.alias("a"), (place + kind.size).alias("b"))
+ID = ["g", "c", "c2"]
+CONTEXT = [*ID, "many", "body", "n", "doc", "base", "top"]
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Equal contexts as one row with its first place; aggregated before the shuffle."""
+    named = rows.withColumns({"c": F.xxhash64("many", "body"), "c2": F.xxhash64(F.lit(7), "many", "body")})
+    least = F.min(F.struct("doc", "base")).alias("least")
+    found = named.groupBy(*ID).agg(F.first("many").alias("many"), F.first("body").alias("body"), F.sum("n").alias("n"), least, F.max("top").alias("top"))
+    return found.select(*ID, "many", "body", "n", "least.doc", "least.base", "top")
+
+
+def _decided(contexts: DataFrame, kind: Kind, decide, limit: int, hot: int) -> DataFrame:
+    """RUNS of all contexts; hot anchors are split first."""
+    schema = ", ".join(f"{c} long" for c in RUNS)
+    shard = lambda rows: rows.repartition("g").sortWithinPartitions("g").mapInArrow(_shards(decide, limit), schema)
+    done, back = [], lambda runs_: runs_
+    for step in [*kind.steps(), 0]:
+        often = cut(contexts.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select("g"), "often") if step else None
+        if often is None or often.isEmpty():
+            done.append(back(shard(contexts)))
+            break
+        done.append(back(shard(contexts.join(often, "g", "left_anti"))))
+        made = "g long, c long, c2 long, new_g long, delta long, many long, body binary, n long, doc long, base long, top long"
+        pieces = contexts.join(often, "g", "left_semi").select(*CONTEXT).mapInArrow(_pieces(kind, step), made)
+        pieces = cut(pieces.withColumns({"new_c": F.xxhash64("many", "body"), "new_c2": F.xxhash64(F.lit(7), "many", "body")}), "pieces")
+        contexts = cut(_distinct(pieces.select(F.col("new_g").alias("g"), "many", "body", "n", "doc", "base", "top")), "contexts")
+        links = pieces.select(*[F.col(x).alias(f"old_{x}") for x in ID], F.col("new_g").alias("g"), F.col("new_c").alias("c"), F.col("new_c2").alias("c2"), "delta")
+        back = _unsplit(links, back)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _unsplit(links: DataFrame, before):
+    """Runs of pieces as runs of the contexts that they were cut from."""
+
+    def back(runs_: DataFrame) -> DataFrame:
+        moved = runs_.join(links, ID)
+        return before(moved.select(*[F.col(f"old_{x}").alias(x) for x in ID], "kind", (F.col("a") + F.col("delta")).alias("a"), (F.col("b") + F.col("delta")).alias("b"), "from_doc", "from_place"))
+
+    return back
 
 
 def repeated_spans(found: DataFrame, kind: Kind, decide, rule, inner: bool, limit: int, hot: int) -> DataFrame:
-    """found: texts(). Returns (t, u, first, copies, spans) of each text: its first document, how many rows have it, and
-    the spans of repeated symbols that decide finds, null where none. Joined with found on KEY, it shares one shuffle.
-    rule says the same as decide of anchors met in more than ``hot`` texts: (least (doc, place) of the window, how often
-    it occurs, doc, place) -> whether it goes."""
-    classes = cut(found.groupBy("t", "u").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "classes")
-    anchors = found.select("body", "t").mapInArrow(_emit(kind), "h long, t long, many boolean")
-    again = cut(anchors.repartition("h").sortWithinPartitions("h", "t").mapInArrow(_repeated(inner), "h long, t long"), "anchors")
+    """found: texts(). Returns (t, u, first, last, copies, spans) of each text: its first and last document, how many rows
+    have it, and the repeated runs of symbols (kind, a, b) that decide finds and rule keeps, null where none. Joined with
+    found on KEY, it shares one shuffle. rule: (a run's columns, doc, place of the run) -> whether it counts there."""
+    classes = cut(found.groupBy("t", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("copies")), "classes")
+    emitted = "h long, t long, sure boolean, p long"
+    some = found.where(F.pmod("u", F.lit(SAMPLE)) == 0).select("body", "t").mapInArrow(_emit(kind, False, np.zeros(0, np.int64)), emitted)
+    often = some.groupBy("h").agg(F.count_distinct("t").alias("texts")).where(F.col("texts") >= max(2, hot // SAMPLE)).orderBy(F.desc("texts"), "h").limit(HINTS)
+    hints = np.sort(np.array([r["h"] for r in often.collect()], np.int64))  # a hint of bounded size
+    anchors = found.select("body", "t").mapInArrow(_emit(kind, inner, hints), emitted)
+    again = cut(anchors.repartition("p").sortWithinPartitions("h", "t").select("h", "t", "sure").mapInArrow(_repeated, "h long, t long"), "anchors")
     lists = again.groupBy("t").agg(F.collect_list("h").alias("hs"))  # of one text, at most its own anchors
     own = lists.join(classes, "t").select("t", "u", "first", "hs")
     # first is the least doc. All columns of the texts and KEY alone, so that Spark reuses this shuffle of them in the
     # caller's join with the result
     parts = found.join(own, KEY).where("doc <= first").select("body", "t", "doc", "hs", "doc_id")
-    shipped = parts.mapInArrow(_contexts(kind), "h long, t long, doc long, base long, body binary")
-    often = again.groupBy("h").agg(F.count("*").alias("texts")).where(F.col("texts") > hot).select("h")
-    more = None
-    if not often.isEmpty():
-        shipped, often = cut(shipped, "contexts"), cut(often, "often")
-        more = _hot_spans(shipped.join(often, "h", "left_semi"), kind, rule)
-        shipped = shipped.join(often, "h", "left_anti")
-    runs_ = shipped.repartition("h").sortWithinPartitions("h").mapInArrow(_shards(kind, decide, limit), "t long, doc long, a long, b long")
-    if more is not None:
-        runs_ = runs_.unionByName(more)
-    spans = runs_.groupBy("t", F.col("doc").alias("first")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    shipped = parts.mapInArrow(_contexts(kind), "g long, t long, doc long, base long, many long, body binary")
+    shipped = cut(shipped.withColumns({"c": F.xxhash64("many", "body"), "c2": F.xxhash64(F.lit(7), "many", "body")}), "shipped")
+    contexts = cut(_distinct(shipped.select("g", "many", "body", F.lit(1).cast("long").alias("n"), "doc", "base", F.col("doc").alias("top"))), "contexts")
+    runs_ = _decided(contexts, kind, decide, limit, hot)
+    met = shipped.select(*ID, "t", "doc", "base").join(runs_, ID)
+    place = F.col("base") + F.col("a")
+    met = met.where(rule(F.col("kind"), F.col("from_doc"), F.col("from_place"), F.col("doc"), place))
+    spans = met.groupBy("t", F.col("doc").alias("first")).agg(F.collect_list(F.struct("kind", place.alias("a"), (F.col("base") + F.col("b")).alias("b"))).alias("spans"))
     return classes.join(spans, ["t", "first"], "left")
 
 

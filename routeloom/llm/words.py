@@ -90,19 +90,6 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def rolling(values: np.ndarray, size: int) -> np.ndarray:
-    """A fingerprint of each ``size`` consecutive numbers, whatever the size: from running sums, in blocks."""
-    many = len(values) - size + 1
-    out = np.empty(max(0, many), np.uint64)
-    for lo in range(0, many, BLOCK):
-        part = values[lo : lo + BLOCK + size - 1]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * _up[: len(part)], out=sums[1:])
-        n = len(part) - size + 1
-        out[lo : lo + n] = (sums[size:] - sums[:n]) * _down[:n]
-    return mix(out)
-
-
 def minimizers(values: np.ndarray, w: int) -> np.ndarray:
     """For each w consecutive values the place of the smallest, the leftmost of equal ones."""
     n = len(values)

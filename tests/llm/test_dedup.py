@@ -1,6 +1,7 @@
 """Near-duplicates and passages against brute force."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -141,10 +142,72 @@ def bytes_expected(rows, size, keep):
 
 @pytest.mark.parametrize(("size", "keep", "hot"), [(400, "none", 3), (60, "none", 9999), (7, "none", 2), (60, "first", 9999), (60, "first", 3), (60, "first", 0)])
 def test_suffix_dedup(docs, corpus, size, keep, hot):
-    found = suffix_dedup.remove_repeats(docs, size, keep, ("kept_sha256",), shard_bytes=5000, hot=hot)
+    found = suffix_dedup.remove_repeats(docs, size, keep, ("kept_sha256",), shard_bytes=5000, hot=hot).drop("n_passages", "n_passage_words")
     assert Counter(map(tuple, found.collect())) == bytes_expected(corpus, size, keep)
 
 
+def passages_expected(rows, size, least):
+    """(doc, runs of more than ``least`` words of which each ``size`` bytes are in another document, too, their words)."""
+    where = defaultdict(set)
+    texts = [(r[0], (r[1] or "").encode()) for r in rows]
+    whole = defaultdict(set)
+    for doc, t in texts:
+        whole[t].add(doc)
+        for k in range(len(t) - size + 1):
+            where[t[k : k + size]].add(doc)
+    out = Counter()
+    for doc, t in texts:
+        shared = np.zeros(len(t), bool)
+        for k in range(len(t) - size + 1):
+            if len(where[t[k : k + size]]) > 1:
+                shared[k : k + size] = True
+        if len(whole[t]) > 1:
+            shared[:] = True
+        inside = np.concatenate([[False], shared, [False]])
+        runs = [(a, b) for a, b in zip(np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1]), strict=True)]
+        found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        many = [sum(1 for x, y in found if a <= x and y <= b) for a, b in runs]
+        out[doc, sum(n > least for n in many), sum(n for n in many if n > least)] += 1
+    return out
+
+
+@pytest.mark.parametrize(("size", "passage", "least", "hot"), [(400, 224, 50, 2000), (60, 30, 4, 2), (60, 60, 3, 0), (33, 32, 0, 1)])
+def test_passages_in_other_documents(docs, corpus, size, passage, least, hot):
+    found = suffix_dedup.remove_repeats(docs, size, "none", ("kept_sha256",), passage, least, shard_bytes=5000, hot=hot)
+    assert Counter(tuple(r) for r in found.select("doc_id", "n_passages", "n_passage_words").collect()) == passages_expected(corpus, passage, least)
+    rows = found.drop("n_passages", "n_passage_words").collect()
+    assert Counter(map(tuple, rows)) == bytes_expected(corpus, size, "none")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors(seed):
+    rng = np.random.default_rng(seed)
+    size, floor = [(12, 5), (40, 9), (7, 7), (100, 1), (16, 8), (3, 2)][seed]
+    texts = [bytes(rng.integers(97, 97 + 2 + seed % 3, rng.integers(1, 60), dtype=np.uint8)) for _ in range(20)]
+    texts += [texts[3] + texts[4], texts[5][2:] + b"zz", b"a" * 50]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    rest = np.repeat(ends, [len(t) for t in texts]) - np.arange(len(data))
+    starts = np.flatnonzero(rest >= floor)
+    lpf, source, same = suffix_dedup.factors(data, rest, starts, size, floor)
+    text = lambda k: data[starts[k] : starts[k] + min(rest[starts[k]], size)].tobytes()
+    shared = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    for k in range(len(starts)):
+        best = max([shared(text(k), text(j)) for j in range(k)], default=0)
+        assert lpf[k] == (best if best >= floor else 0)
+        if lpf[k]:
+            assert source[k] < k and shared(text(k), text(source[k])) == lpf[k]
+    assert all((same[a] == same[b]) == (text(a)[:floor] == text(b)[:floor]) for a in range(0, len(starts), 7) for b in range(len(starts)))
+
+
+def test_smaller_before():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 200):
+        values, group = rng.permutation(n), np.sort(rng.integers(0, 6, n))
+        got = suffix_dedup.smaller_before(values, group)
+        assert got.tolist() == [max([j for j in range(i) if values[j] < values[i] and group[j] == group[i]], default=-1) for i in range(n)]
+
+
 def test_suffix_dedup_outputs(spark, none):
     rows = [(1, "abcdefgh-1"), (2, "xx abcdefgh"), (3, "abcdefgh")]
     found = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()}
@@ -175,7 +238,7 @@ def words_expected(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "hot"), [(13, 9999), (13, 3), (13, 0), (3, 9999), (3, 4), (1, 9999)])
+@pytest.mark.parametrize(("size", "hot"), [(13, 9999), (13, 3), (13, 0), (3, 9999), (3, 4), (1, 9999), (9, 1)])
 def test_fm_dedup(docs, corpus, size, hot):
     found = fm_dedup.remove_repeats(docs, size, ("kept_sha256",), shard_bytes=4000, hot=hot)
     assert Counter(map(tuple, found.collect())) == words_expected(corpus, size)
@@ -184,11 +247,27 @@ def test_fm_dedup(docs, corpus, size, hot):
 def test_fm_index_counts():
     rng = np.random.default_rng(3)
     text = np.concatenate([rng.integers(1, 5, 400), [0]])
-    index = fm_dedup.Index(text, 4)
+    index = fm_dedup.Index(text)
     patterns = rng.integers(1, 5, (50, 4))
-    lo, hi = index.search(patterns)
+    lo, hi = np.zeros(50, np.int64), np.full(50, len(text))
+    for k in (3, 2, 1, 0):
+        lo, hi = index.extend(patterns[:, k], lo, hi)
     for p, a, b in zip(patterns, lo, hi, strict=True):
-        assert sorted(index.sa[a:b].tolist()) == [k for k in range(398) if (text[k : k + 4] == p).all()]
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == [k for k in range(398) if (text[k : k + 4] == p).all()]
+    assert len(index.positions) == -(-len(text) // index.EVERY) and not hasattr(index, "sa")
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(4)
+    text = np.concatenate([rng.integers(1, 4, 300), [0], rng.integers(1, 4, 100), [0]])
+    size, starts = 6, np.concatenate([np.arange(295), np.arange(301, 396)])
+    copies = np.where(starts > 300, 1, np.where(starts < 20, 2, 1))
+    length, lo, hi = fm_dedup.Index(text).statistics(text, starts, copies, size)
+    for s, c, n, a, b in zip(starts, copies, length, lo, hi, strict=True):
+        ends = lambda m: sum((text[k : k + m] == text[s + size - m : s + size]).all() for k in range(len(text) - m + 1))  # noqa: E731, B023
+        assert n == (size if c > 1 else next((m for m in range(size) if ends(m + 1) < 2), size))
+        if n == size:
+            assert b - a == ends(size)
 
 
 def test_minimizers_agree():
