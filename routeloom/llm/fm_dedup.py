@@ -83,7 +83,8 @@ class Index:
     EVERY = 8
 
     def __init__(self, text: np.ndarray):
-        n, rank, span, fresh = len(text), text.astype(np.int64), 1, np.zeros(1, np.int64)
+        text = np.append(text.astype(np.int64) + 1, 0)  # an end of its own, so that occurrences keep their order in walks
+        n, rank, span, fresh = len(text), text, 1, np.zeros(1, np.int64)
         order = np.zeros(n, np.int64)
         while span == 1 or fresh[-1] < n - 1:  # until all suffixes are apart: walks through the text need the whole order
             after = np.zeros(n, np.int64)
@@ -112,6 +113,7 @@ class Index:
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the suffixes that start with c and go on as those of [lo, hi)."""
+        c = c + 1
         return self.first[c] + self.wavelet.rank(c, lo), self.first[c] + self.wavelet.rank(c, hi)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:

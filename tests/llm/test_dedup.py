@@ -249,12 +249,19 @@ def test_fm_index_counts():
     text = np.concatenate([rng.integers(1, 5, 400), [0]])
     index = fm_dedup.Index(text)
     patterns = rng.integers(1, 5, (50, 4))
-    lo, hi = np.zeros(50, np.int64), np.full(50, len(text))
+    lo, hi = np.zeros(50, np.int64), np.full(50, index.size)
     for k in (3, 2, 1, 0):
         lo, hi = index.extend(patterns[:, k], lo, hi)
     for p, a, b in zip(patterns, lo, hi, strict=True):
         assert sorted(index.locate(np.arange(a, b)).tolist()) == [k for k in range(398) if (text[k : k + 4] == p).all()]
-    assert len(index.positions) == -(-len(text) // index.EVERY) and not hasattr(index, "sa")
+    assert len(index.positions) == -(-index.size // index.EVERY) and not hasattr(index, "sa")
+
+
+def test_fm_index_locates_every_suffix():
+    rng = np.random.default_rng(0)
+    for top in (1, 2, 6):
+        text = np.concatenate([np.concatenate([rng.integers(1, top + 1, rng.integers(1, 12)), [0]]) for _ in range(9)])
+        assert fm_dedup.Index(text).locate(np.arange(len(text) + 1)).tolist() == sorted(range(len(text) + 1), key=lambda k: text[k:].tolist())
 
 
 def test_matching_statistics():
