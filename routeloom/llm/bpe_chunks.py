@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import held, ready, slices, text_bytes, word_bpe_path
+from .common import fresh, held, ready, slices, text_bytes, word_bpe_path
 from .token_counts import Counter
 from .words import LOWER
 
@@ -237,4 +237,4 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
                 columns = [part.column(k) for k in range(len(kept))] + [pa.array(made[c](), to.field(c).type) for c in outputs]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to, strict=True)], schema=to)
 
-    return docs.select(*kept, text_bytes(text).alias("_t")).mapInArrow(run, schema)
+    return docs.select(*kept, text_bytes(text).alias(fresh("_t", kept))).mapInArrow(run, schema)

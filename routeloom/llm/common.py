@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local master."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         if at.isDefined():
             found = at.get()
         else:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="routeloom-")
             sc.setCheckpointDir(found)
             found = sc._jsc.sc().getCheckpointDir().get()
@@ -89,6 +91,14 @@ def ready(df: DataFrame) -> None:
 _sent: set[str] = set()
 
 
+def fresh(name: str, taken) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 def text_bytes(col: str = "text"):
     """The text as bytes, null as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
@@ -99,9 +109,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
     n = len(column)
     if not n:
         return
-    if column.offset or True:
-        offsets = np.frombuffer(column.buffers()[1], np.int32 if column.type in (pa.binary(), pa.string()) else np.int64)
-        offsets = offsets[column.offset : column.offset + n + 1]
+    offsets = np.frombuffer(column.buffers()[1], np.int32 if column.type in (pa.binary(), pa.string()) else np.int64)
+    offsets = offsets[column.offset : column.offset + n + 1]
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, int(offsets[first]) + limit, side="right")) - 1

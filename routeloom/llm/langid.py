@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_BYTES, held, ready, slices
+from .common import SLICE_BYTES, fresh, held, ready, slices
 
 DIMS, GRAM, SAMPLE = 1024, 3, 4000
 _POINTS = 0x110000
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, labelled: DataFrame, dims: int = DIMS, n: int = GR
                 columns = [part.column(k) for k in range(len(kept))] + [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to, strict=True)], schema=to)
 
-    return docs.select(*kept, F.col("text").cast("binary").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col("text").cast("binary").alias(fresh("_t", kept))).mapInArrow(run, schema)
 
 
 def remainder(key: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import held, ready, slices, text_bytes, word_bpe_path
+from .common import fresh, held, ready, slices, text_bytes, word_bpe_path
 
 #: The pre-token pattern that the vocabulary file names.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -196,4 +196,4 @@ def count_tokens(docs: DataFrame, limit: int = 2048, text: str = "text", path: s
 
     import pyarrow.compute  # noqa: F401  pa.compute is loaded on demand
 
-    return docs.select(*kept, text_bytes(text).alias("_t")).mapInArrow(run, schema)
+    return docs.select(*kept, text_bytes(text).alias(fresh("_t", kept))).mapInArrow(run, schema)

@@ -1,9 +1,13 @@
 """Decontamination, language ID, BPE, counts, secrets and chat against brute force and round trips."""
 
 import hashlib
+import pickle
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -56,6 +60,99 @@ def test_decontaminate(spark, docs, corpus, items, block):
         assert sum(len(WORD.findall(lower(r.text[s.start : s.end]))) for s in r.spans) == r.n_hit
 
 
+@pytest.mark.parametrize("block", [4 << 20, 150])
+def test_decontaminate_passes_clashing_columns_through(spark, docs, corpus, items, block):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.decontaminate(docs.withColumns({"_b": F.lit("x"), "_w": F.lit(1), "_I": F.lit(2)}), bench, block_bytes=block)
+    assert {(r._b, r._w, r["_I"], r.body) for r in found.collect()} == {("x", 1, 2, "clash")}
+    assert Counter(r.n_hit for r in found.collect()) == Counter(n for _, _, n, *_ in leaks_expected(corpus, items).elements())
+
+
+def test_automaton_is_bounded_near_a_block():
+    draw = random.Random(1)
+    vocabulary = ["".join(draw.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(200_000)]
+    items = [(str(k), " ".join(draw.choice(vocabulary) for _ in range(100)).encode()) for k in range(1500)]  # 1 MB
+    code = (
+        "import pickle, sys, resource; from routeloom.llm import decontaminate as d; items = pickle.load(sys.stdin.buffer);"
+        "a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; w = d.Windows(items, 10);"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024, d.scan(items[7][1], w)[2])"
+    )
+    said = subprocess.run([sys.executable, "-c", code], input=pickle.dumps(items), capture_output=True, check=True, cwd=Path(decontaminate.__file__).parents[2]).stdout.decode().split()
+    assert int(said[0]) < 200 and "'7'" in said[1], said
+
+
+def test_columns_with_names_of_their_own_clash_with_none(spark):
+    df = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string").withColumns({"_t": F.lit(5), "_T_": F.lit(6)})
+    for found in (langid.identify(df, df), bpe_chunks.encode_decode(df), token_counts.count_tokens(df)):
+        row = found.first()
+        assert (row["_t"], row["_T_"], row.text) == (5, 6, "some words")
+
+
+def profiles_expected(learned, asked, dims, n, unit=1 << 20):
+    """The profiles written out a letter at a time."""
+    letter = {}
+
+    def of(c):
+        if c not in letter:
+            letter[c] = np.random.default_rng(7_919 + ord(c)).choice(np.array([-1, 1], np.int8), dims).astype(np.int64)
+        return letter[c]
+
+    def vector(text):
+        runs = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not runs:
+            return None
+        line = " " + " ".join(runs) + " "
+        out = np.zeros(dims)
+        for k in range(len(line) - n + 1):
+            bound = np.ones(dims, np.int64)
+            for place, c in enumerate(reversed(line[k : k + n])):
+                bound = bound * np.roll(of(c), place)
+            out += bound
+        return out
+
+    total = {}
+    for text, lang in learned:
+        if lang is not None and (v := vector(text)) is not None:
+            total[lang] = total.get(lang, 0) + np.rint(v.astype(np.float32) * (unit / float(np.sqrt(v @ v))))
+    out = []
+    for text in asked:
+        v = vector(text)
+        if v is None or not total:
+            out.append(("und", 0.0))
+            continue
+        cosine = {lang: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in total.items()}
+        best = min(cosine, key=lambda x: (-cosine[x], x))
+        out.append((best, max(0.0, min(1.0, cosine[best]))))
+    return out
+
+
+def test_profiles_against_brute_force(spark):
+    draw = random.Random(4)
+    made = lambda letters: " ".join("".join(draw.choice(letters) for _ in range(draw.randint(1, 6))) for _ in range(draw.randint(1, 25))) + draw.choice(["", ". 12!", "\n--"])
+    rows = [(k, made(letters), lang) for k, (letters, lang) in enumerate([("aeiouéxyz", "aa"), ("bcdaeßü", "bb"), ("漢字かなae", "cc")] * 25)] + [(90, None, "aa"), (91, "12 34", "bb"), (92, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, df.where("doc_id % 3 <> 1 OR doc_id > 60"), dims=256).collect()}
+    expected = profiles_expected([(t, lang) for k, t, lang in rows if k % 3 != 1 or k > 60], [t for _, t, _ in rows], 256, 3)
+    for (k, *_), (lang, score) in zip(rows, expected, strict=True):
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-5
+
+
+def test_ledger_that_stays(spark, docs, corpus, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = secrets.scan_incrementally(docs, path).select("doc_id", "blob", "findings").collect()
+    size = spark.read.parquet(path).count()
+    more = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(777).cast("long"), "text": F.lit("token = abcdef123456XYZ")}))
+    second = secrets.scan_incrementally(more, path).select("doc_id", "blob", "findings").collect()
+    assert spark.read.parquet(path).count() == size + 1 == len({r.blob for r in second})
+    assert Counter(map(str, first)) == Counter(map(str, second)) - Counter(str(r) for r in second if r.doc_id == 777)
+
+
+def test_copies_of_a_blob_collapse_before_the_shuffle(spark, docs):
+    versions = docs.select(secrets.blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("body"))
+    plan = versions.groupBy("blob").agg(F.first("body").alias("body"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("partial_first") > plan.rindex("Exchange hashpartitioning(blob")
+
+
 def test_decontaminate_empty(spark, none, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(none, bench).collect() == []
