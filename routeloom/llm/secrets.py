@@ -7,8 +7,9 @@ findings back to all paths. A new rule version scans all blobs again and leaves
 A kind's matches and their places come from splitting the text by its pattern: the lengths of the parts between and of
 the matches add up to code-point offsets. No Python runs on executors.
 
-Scale: one shuffle of distinct unseen blobs with partial aggregation, so copies collapse before it; the join back is on
-the blob with nothing above it that needs a blob's rows together, so AQE can split a blob that very many paths share.
+Scale: one shuffle of blobs; copies collapse within each task before it, so a blob that very many paths share is at most
+one row a task in it; the ledger's names are taken out in the same partitioning. The join back is on the blob with
+nothing above it that needs a blob's rows together, so AQE can split a blob that very many paths share.
 
 Defined results: a null text is an empty blob without findings; rows of equal path are versions, each returned; a null
 path is returned as it is; an empty table gives an empty result and leaves the ledger as it was. Only the columns named
@@ -66,8 +67,7 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text",
     ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger.select("blob", "rule_version", "findings")
     known = ledger.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
     versions = docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    unseen = versions.join(known.select("blob"), "blob", "left_anti")
-    blobs = unseen.groupBy("blob").agg(F.first("body").alias("body"))
+    blobs = versions.groupBy("blob").agg(F.first("body").alias("body")).join(known.select("blob"), "blob", "left_anti")
     added = cut(blobs.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("body"), rules).alias("findings")), "ledger")
     return known.unionByName(added).select("blob", "findings"), added
 
@@ -81,6 +81,18 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, keep: tuple[str, ...]
     return named.select(*kept, "blob", F.coalesce("_hits", F.from_json(F.lit("[]"), FINDING)).alias("findings")), added
 
 
+def scan_incrementally(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", rules=RULES, rule_version: int = RULE_VERSION) -> DataFrame:
+    """As scan(), with a ledger that stays at ``path`` (Parquet): blobs that it has under this rule version are not
+    scanned, what is new is added to it. A run that stops before the addition leaves it as it was."""
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    found, added = scan(docs, spark.read.schema(LEDGER).parquet(path) if there else None, keep, text, rules, rule_version)
+    found = cut(found, "findings")  # joined with the ledger as it was
+    added.write.mode("append").parquet(path)
+    return found
+
+
 def redact(text: Column, found: Column) -> Column:
     """The text with every finding, or run of findings that overlap, replaced by its first one's kind in brackets."""
 
