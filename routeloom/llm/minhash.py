@@ -14,7 +14,8 @@ compared, where it is compared exhaustively; nodes that branch further all do.
 Scale: texts are shuffled once, and only classes in nodes of two or more go on from there. Nodes of more than
 ``node_rows`` classes are branched by Spark, level by level, before any task gets them; what is still larger after
 ``levels`` is compared in pairs of salted blocks, so no task holds more than two blocks, and nothing is dropped. The
-minima that branch come from the sets again, of classes in large nodes only.
+minima that branch come from the sets again, of classes in large nodes only, made where the texts are read: a filter of
+fixed size tells which texts may be meant, and no text is shuffled for them.
 
 Defined results: null or word-less text: empty set, linked with nothing; fewer than n words: the whole sequence is the
 one shingle; rows with a null doc_id are linked with nothing, component_id null and kept true; rows that share a doc_id
@@ -91,15 +92,12 @@ def chosen(node: int) -> list[int]:
 
 
 def packed(tokens: np.ndarray) -> bytes:
-    """The set as 48-bit fingerprints."""
-    return np.ascontiguousarray((tokens >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """The set as it is shipped: all 64 bits of its fingerprints."""
+    return tokens.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(data, np.uint64)
 
 
 def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -223,11 +221,28 @@ def _ship(doc, s, own):
         yield doc, x["node"], x["dense"], body
 
 
-def _branches(many: int):
-    def make(doc, s, _):
-        yield doc, minima(s, many, BRANCHES).tolist()
+#: Bits of the filter that tells which classes may be in large nodes: 1 MB, whatever the tables.
+MAYBE = 1 << 23
+_BIT = f"pmod(xxhash64(rep), {MAYBE})"
 
-    return make
+
+def _branches(n: int, many: int, maybe):
+    """(rep, digest, keys) of texts that the filter lets through: the minima that large nodes branch by. Sets are made
+    where the texts are read, so that no text is shuffled for them."""
+
+    def run(batches):
+        bits = np.frombuffer(maybe.value, np.uint64)
+        for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64) & U(1)).astype(bool)))
+            for a, b in slices(batch.column(1)):
+                digests, keys = [], []
+                for s in shingle_sets(*raw(batch.column(1).slice(a, b - a)), n):
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    keys.append(minima(s, many, BRANCHES) if len(s) else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "digest", "keys"])
+
+    return run
 
 
 def _compare_nodes(percent: int):
@@ -272,7 +287,7 @@ def _shared(nodes: DataFrame, node_rows: int, last: bool) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
     """(a, b): confirmed links among classes (rep, digest, minima), spanning every component that the trees find."""
-    text = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("body"))
+    text = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), text_bytes().alias("body"))
     names = classes.select("rep", "digest")
     roots = classes.select("rep", F.posexplode(F.slice("minima", 1, trees)).alias("tree", "least"))
     rows = roots.select("rep", "tree", F.xxhash64("tree", "least").alias("node"))
@@ -294,10 +309,14 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
             done = done.unionByName(pair.select("rep", F.xxhash64("node", F.least("c", "d"), F.greatest("c", "d")).alias("node"), F.lit(True).alias("dense")))
             break
         if keys is None:
-            hot = big.select("rep").distinct().join(names, "rep")
-            own = text.join(hot, "rep").select("rep", "body", "digest", F.lit(None).cast("long").alias("nodes"))
-            many = 2 * trees * levels
-            keys = cut(own.mapInArrow(_sets_of(n, _branches(many), ["rep", "keys"], [pa.int64(), pa.list_(pa.int64())]), "rep long, keys array<long>").dropDuplicates(["rep"]), "keys")
+            hot = cut(big.select("rep").distinct().join(names, "rep"), "hot")
+            bits = hot.select(F.expr(_BIT).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+            found = np.zeros(MAYBE // 64, np.int64)
+            for row in bits.collect():  # MAYBE / 64 rows at most, whatever the tables
+                found[row["w"]] = row["b"]
+            maybe = text.sparkSession.sparkContext.broadcast(found.tobytes())
+            made = text.select("rep", "body", F.expr(_BIT).alias("p")).mapInArrow(_branches(n, 2 * trees * levels, maybe), "rep long, digest binary, keys array<long>")
+            keys = cut(made.join(hot, ["rep", "digest"]).select("rep", "keys").dropDuplicates(["rep"]), "keys")
         # a node branches by the two hash functions of its tree and level
         at = [2 * (F.col("tree") * levels + level) + k for k in range(2)]
         child = F.explode(F.array(*[F.xxhash64("node", F.lit(k), F.element_at("keys", (p + 1).cast("int"))) for k, p in enumerate(at)]))
