@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns what it keeps.
 
 Stages are pure functions of the table they are given; run() writes each one's result to the shared folder and reads it
-again, so a lost executor or a restart costs one stage.
+again, so a lost executor costs one stage. A run that is started again begins anew.
 """
 
 from __future__ import annotations

@@ -106,10 +106,10 @@ def direction_union(spark, sf_dir):
     return tracks.union_directions([p.where("route_dir = 1"), p.where("route_dir = 2")])
 
 
-@query()
+@query("SELECT count(*) AS rows FROM events")
 def partition_rows(spark, sf_dir):
-    """A10: rows of each partition; depends on the layout, so it has no SQL."""
-    return windows.partition_rows(_gps(spark, sf_dir))
+    """Rows of each partition, summed up, as the parts depend on the layout."""
+    return windows.partition_rows(_gps(spark, sf_dir)).agg(F.sum("rows").alias("rows"))
 
 
 def _full(gps: DataFrame) -> DataFrame:
@@ -128,6 +128,15 @@ def tracks_csv(spark, sf_dir):
     return back.select("idx", "lineName", "direction", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("at_second"), _r("distance_of_gpspoint"))
 
 
+@query(f"WITH {GPS} SELECT idx, line AS \"lineName\", dir AS direction, strftime(t, '%Y-%m-%d %H:%M:%S') AS at_second, round(km, 6) AS distance_of_gpspoint FROM gps")
+def gps_csv(spark, sf_dir):
+    """Mapped tracks as plain CSV files with a header, read with the fixed schema."""
+    path = tracks.scratch(spark, "gps")
+    _full(_gps(spark, sf_dir)).write.option("header", True).csv(path)
+    back = tracks.read_gps_csv(spark, path)
+    return back.select("idx", "lineName", "direction", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("at_second"), _r("distance_of_gpspoint"))
+
+
 # --- rectangles ------------------------------------------------------------------------------------------------------
 
 

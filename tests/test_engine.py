@@ -347,3 +347,20 @@ def test_one_shuffle_serves_next_fix_and_dense_windows(spark):
     df = windows.dense_windows(windows.assign_windows(windows.next_fix(track(spark, a=[("07:00:00", 0.1)]))))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_partitioned_csv_with_another_header_raises(spark, tmp_path):
+    from routeloom import schema as S
+    from routeloom.sources import tracks
+
+    names = [f.name for f in S.GPS]
+    row = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in S.GPS]).withColumn("lineName", F.lit("L1"))
+    swapped = [n for n in names if n not in ("lng", "lat")] + ["lat", "lng"]
+    for k, columns in enumerate([names, [n for n in names if n != "t_flag"], swapped]):
+        path = str(tmp_path / str(k))
+        row.select(*columns).write.partitionBy("lineName").option("header", True).csv(path)
+        if k == 0:
+            assert tracks.read_partitioned_csv(spark, path).count() == 1
+        else:
+            with pytest.raises(ValueError, match="header"):
+                tracks.read_partitioned_csv(spark, path)

@@ -42,5 +42,5 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_every_query_runs(spark):
-    assert queries.QUERIES["partition_rows"](spark, FOLDER).groupBy().sum("rows").first()[0] == 1000
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.ORACLES)
