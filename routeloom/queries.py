@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import adjacency, mapping, mbr, merge, windows
 from .plans import detect
 from .schema import Params
-from .sources import adapters, tracks
+from .sources import adapters, shapefile, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -281,7 +281,7 @@ def merge_chain(spark, sf_dir):
 
 @query(f"WITH {OVER}, b AS (SELECT line, dir, win_st, idx1, idx2, row_number() OVER (PARTITION BY day, line, dir ORDER BY round(distance, 6) DESC, win_st, idx1, idx2) AS place, round(distance, 6) AS distance FROM pair WHERE distance < 0.05) SELECT line AS \"lineName\", dir AS direction, place, win_st, idx1, idx2, distance FROM b WHERE place <= 2")
 def top_events(spark, sf_dir):
-    """The two farthest events of each route and direction."""
+    """The two farthest events of each route and direction."""
     from pyspark.sql import Window
 
     e = detect.detect(_gps(spark, sf_dir), "mbr", NORMAL).withColumn("distance", F.round("distance", 6))
@@ -289,6 +289,13 @@ def top_events(spark, sf_dir):
     return e.withColumn("place", F.row_number().over(own).cast("long")).where("place <= 2").select("lineName", "direction", "place", "win_st", "idx1", "idx2", "distance")
 
 
+@query(f"WITH {OVER.replace('(user_id // 5) % 2 + 1', 'event_id % 2 + 1')} SELECT {EVENT} FROM (SELECT *, row_number() OVER (PARTITION BY day, win_st, idx1, idx2 ORDER BY round(distance, 9) DESC, line, dir, s, e) AS place FROM pair WHERE distance < 0.05) WHERE place = 1")
+def farthest_of_window(spark, sf_dir):
+    """Of each pair and window the farthest event, over both directions, in which these vehicles are seen at once."""
+    both = _gps(spark, sf_dir).withColumn("direction", (F.col("event_id") % 2 + 1).cast("double"))
+    return _event_columns(merge.farthest_of_window(detect.detect(both, "mbr", NORMAL), NORMAL))
+
+
 @query(
     "WITH g AS (SELECT CAST(user_id AS VARCHAR) AS idx, event_type AS line, CAST((hour(ts) * 60 + minute(ts)) - (hour(ts) * 60 + minute(ts)) % 4 AS INTEGER) AS win_st, value / 600.0 AS nd FROM events), "
     "d AS (SELECT line, idx, win_st, count(*) AS n_points, min(nd) AS lo, max(nd) AS hi FROM g WHERE line IS NOT NULL AND idx IS NOT NULL AND win_st IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) "
@@ -388,6 +395,38 @@ def line_summary(spark, sf_dir):
     return s.select("lineName", "cars", "points", "segment_length", _r("distance_dir1"), _r("distance_dir2"))
 
 
+@query(ORACLES["line_summary"].replace("coalesce(any_value(cars), 0) AS cars", "CASE WHEN len.line = 'L0' THEN -1 ELSE coalesce(any_value(cars), 0) END AS cars"))
+def line_info_csv(spark, sf_dir):
+    """The routes' table written, all but one of its routes updated, and read again."""
+    path = tracks.scratch(spark, "lines")
+    s = line_summary(spark, sf_dir)
+    tracks.write_line_info(s.withColumn("cars", F.lit(-1)), path)
+    tracks.update_line_info(s.where("lineName <> 'L0'"), path)
+    return tracks.read_line_info(spark, path)
+
+
+@query(ORACLES["distance_index"])
+def network_shapefile(spark, sf_dir):
+    """The network as shapefiles, one a route and direction, read again and made into the distance index."""
+    path = tracks.scratch(spark, "network")
+    network, sequence = _network(spark, sf_dir)
+    shapefile.write_shapefiles(network.withColumn("file", F.concat_ws("-", "lineName", "direction")), path, "file")
+    back = shapefile.read_shapefiles(spark, f"{path}/*.shp").withColumn("direction", F.col("direction").cast("int"))
+    index = mapping.build_distance_index(back, sequence)
+    return index.select("lineName", "net_direction", "ord", "opath", _r("lng"), _r("lat"), _r("distance_opath"))
+
+
+@query(f"WITH {RAW} SELECT event_id, idx, line AS \"lineName\", dir AS direction, CAST(seg AS VARCHAR) AS opath, {_t('t', 'time')}, round(lng, 6) AS lng, round(lat, 6) AS lat FROM raw")
+def vehicle_shapefiles(spark, sf_dir):
+    """S3: raw points as shapefiles, one a vehicle, all read again; the file's name tells the vehicle."""
+    path = tracks.scratch(spark, "vehicles")
+    raw = _raw(spark, sf_dir).withColumn("geometry", F.array(F.struct("lng", "lat")))
+    shapefile.write_shapefiles(raw.select("idx", "event_id", "lineName", "direction", "opath", _stamp("time"), "geometry"), path, "idx", points=True)
+    back = shapefile.read_shapefiles(spark, f"{path}/*.shp")
+    point = F.col("geometry")[0]
+    return back.select("event_id", F.regexp_extract("source", r"([^/]+)\.shp$", 1).alias("idx"), "lineName", "direction", "opath", "time", _r(point["lng"], "lng"), _r(point["lat"], "lat"))
+
+
 @query(f"WITH {DENSE} SELECT win_st, count(*) AS pts, count(DISTINCT idx) AS vehicles, round(sum(nxt_s), 3) AS gap_s FROM (SELECT *, (epoch_us(nxt) - epoch_us(t)) / 1e6 AS nxt_s FROM dense) GROUP BY win_st")
 def window_load(spark, sf_dir):
     """F2, W1 and date functions: load of each window."""

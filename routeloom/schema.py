@@ -61,6 +61,19 @@ DISTANCE_INDEX = T.StructType(
 )
 
 
+#: One row for each route: what is known of it.
+LINE_INFO = T.StructType(
+    [
+        T.StructField("lineName", T.StringType()),
+        T.StructField("cars", T.LongType()),
+        T.StructField("points", T.LongType()),
+        T.StructField("segment_length", T.DoubleType()),
+        T.StructField("distance_dir1", T.DoubleType()),
+        T.StructField("distance_dir2", T.DoubleType()),
+    ]
+)
+
+
 @dataclass(frozen=True)
 class Params:
     """Tunable constants of detection.

@@ -13,7 +13,7 @@ from routeloom.functions import kernel
 from routeloom.functions.geo import geodesic_km
 from routeloom.operators import adjacency, mapping, mbr, merge, pairs, windows
 from routeloom.plans import detect
-from routeloom.schema import GPS, NETWORK, SEQUENCE, Params
+from routeloom.schema import GPS, LINE_INFO, NETWORK, SEQUENCE, Params
 from routeloom.sources import shapefile, tracks
 from routeloom.streaming.windows import stream_mbrs
 
@@ -364,3 +364,34 @@ def test_partitioned_csv_with_another_header_raises(spark, tmp_path):
         else:
             with pytest.raises(ValueError, match="header"):
                 tracks.read_partitioned_csv(spark, path)
+
+
+def test_shapefiles_round_trip(spark, tmp_path):
+    schema = "file string, num long, size double, name string, geometry array<struct<lng:double,lat:double>>"
+    rows = [("a", 1, 1.5, "x", [(114.0, 22.5), (114.01, 22.5)]), ("a", None, None, None, None), ("b", 3, -1e-7, "\u00e9 ", [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)])]
+    shapefile.write_shapefiles(spark.createDataFrame(rows, schema), str(tmp_path / "out"), "file")
+    back = shapefile.read_shapefiles(spark, f"{tmp_path}/out/*.shp")
+    got = sorted((r.source[-5:-4], r.num, r.size, r.name, r.geometry and [tuple(p) for p in r.geometry]) for r in back.collect() if r.num)
+    assert got == [("a", 1, 1.5, "x", [(114.0, 22.5), (114.01, 22.5)]), ("b", 3, -1e-7, "\u00e9", [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)])]
+    assert back.where("num IS NULL AND size IS NULL AND name IS NULL AND geometry IS NULL").count() == 1
+    for wrong in (None, "", "a/b"):
+        with pytest.raises(ValueError):
+            shapefile.write_shapefiles(spark.createDataFrame([(wrong, *rows[0][1:])], schema), str(tmp_path / "no"), "file")
+
+
+def test_line_info_update(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    frame = lambda *r: spark.createDataFrame(r, LINE_INFO)
+    tracks.write_line_info(frame(("L0", 1, 2, 3.0, None, 5.0), ("L1", 1, 2, 3.0, 4.0, 5.0)), path)
+    tracks.update_line_info(frame(("L1", 9, 9, 9.0, 9.0, None), ("L2", 7, 7, None, 7.0, 7.0)), path)
+    assert sorted(map(tuple, tracks.read_line_info(spark, path).collect())) == [("L0", 1, 2, 3.0, None, 5.0), ("L1", 9, 9, 9.0, 9.0, None), ("L2", 7, 7, None, 7.0, 7.0)]
+
+
+def test_farthest_of_window(spark):
+    day, at = "DATE '2024-01-01'", "TIMESTAMP '2024-01-01 07:00:0{}'"
+    row = lambda line, a, b, win, d, k: f"('{line}', 1.0D, {day}, '{a}', '{b}', {win}, {d}D, {at.format(k)}, {at.format(k + 1)}, 1.0D)"
+    rows = [row("L1", "a", "b", 420, 0.2, 0), row("L0", "a", "b", 420, 0.3, 1), row("L2", "a", "b", 420, 0.3, 0), row("L1", "a", "c", 420, 0.1, 0), row("L1", "a", "b", 424, 0.1, 0)]
+    events = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(lineName, direction, service_date, idx1, idx2, win_st, distance, start_time, end_time, duration)")
+    out = merge.farthest_of_window(events)
+    assert sorted((r.idx2, r.win_st, r.lineName, r.distance) for r in out.collect()) == [("b", 420, "L0", 0.3), ("b", 424, "L1", 0.1), ("c", 420, "L1", 0.1)]
+    assert out.columns == events.columns
