@@ -4,9 +4,10 @@ Unit vectors are projected at random to 8 dimensions in each of several tables a
 point; each vector also probes the neighbouring cells nearest to it, so that two vectors meet where any of their cells
 agree. In a cell all pairs are verified by cosine in double precision. A pair that meets in several cells counts in the
 least one only, which both rows' cell lists tell, so pairs are never emitted: a cell gives each row its number of links
-and a spanning forest of the links.
+and a spanning forest of the links. The lists are not shipped: a task makes those of its linked rows again, in arithmetic
+whose result depends on the row alone.
 
-Scale: equal vectors are one class with a count; a row and its cells are shuffled once. ``blocks`` lattice points
+Scale: equal vectors are one class with a count; a class is shuffled to each of its cells, in the floats it is stored in. ``blocks`` lattice points
 make up one cell's name; it grows with the logarithm of the number of classes, so cells keep their size, and the number
 of tables grows with it, so that recall at the threshold does not fall (``TABLES_AT``). Beyond three blocks cells grow
 instead. Cells of more than ``cell_rows`` rows are compared as pairs of salted blocks of rows, so no task holds a whole hot cell; nothing is
@@ -20,10 +21,13 @@ each other's copies count as other vectors. An empty table gives an empty result
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, ready
 from .components import components
@@ -85,21 +89,40 @@ def _name(points: np.ndarray, salt: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+@lru_cache(maxsize=4)
+def _projections(dim: int, tables: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dim, tables * blocks * 8) random projections and their shifts."""
+    out, shifts = [], []
+    for t in range(tables):
+        rng = np.random.default_rng([dim, t])
+        for _ in range(blocks):
+            out.append(np.linalg.qr(rng.standard_normal((dim, 8)))[0] if dim >= 8 else rng.standard_normal((dim, 8)) / np.sqrt(8))
+            shifts.append(rng.uniform(0, 1, 8))
+    return np.concatenate(out, 1), np.concatenate(shifts)
+
+
+def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """x @ m, summed in one order: a row's result is the same to the last bit whatever rows come with it."""
+    out = np.zeros((len(x), m.shape[1]))
+    for k in range(m.shape[0]):
+        out += x[:, k : k + 1] * m[k]
+    return out
+
+
 def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, blocks: int = 1, step: float = STEP) -> np.ndarray:
     """Names of the cells of each unit vector: rows * (tables * (probes + 1) for each block's probes)."""
-    n, dim = x.shape
+    dim = x.shape[1]
+    g, shifts = _projections(dim, tables, blocks)
+    # the spread of a projected unit vector is 1 / sqrt(dim) a coordinate, whatever dim
+    every = _times(x, g) * (np.sqrt(dim) / 8) / step + shifts
     out = []
     for t in range(tables):
-        rng = np.random.default_rng([dim, t])
         homes, others = [], []
-        for _ in range(blocks):
-            g = np.linalg.qr(rng.standard_normal((dim, 8)))[0] if dim >= 8 else rng.standard_normal((dim, 8)) / np.sqrt(8)
-            # the spread of a projected unit vector is 1 / sqrt(dim) a coordinate, whatever dim
-            y = x @ g * (np.sqrt(dim) / 8) / step + rng.uniform(0, 1, 8)
+        for b in range(blocks):
+            y = every[:, 8 * (t * blocks + b) :][:, :8]
             home = decode(y)
-            closest = np.argpartition(-((y - home) @ NEAR.T), min(probes, 239), axis=1)[:, :probes]
+            others.append(np.argpartition(-_times(y - home, NEAR.T), min(probes, 239), axis=1)[:, :probes])
             homes.append(home)
-            others.append(closest)
         home = np.concatenate(homes, 1)
         out.append(_name(home, 1000 * dim + t))
         for p in range(probes):
@@ -118,7 +141,10 @@ def layout(classes: int) -> int:
 def unit(rows: list) -> np.ndarray:
     x = np.array(rows, np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # squares of very large or small components stay finite
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    squares = np.zeros(len(x))
+    for k in range(x.shape[1]):  # in one order, as in _times()
+        squares += x[:, k] * x[:, k]
+    return x / np.sqrt(squares)[:, None]
 
 
 def _by_dim(vectors: list) -> dict[int, np.ndarray]:
@@ -126,7 +152,7 @@ def _by_dim(vectors: list) -> dict[int, np.ndarray]:
     return {int(d): np.flatnonzero(size == d) for d in np.unique(size)}
 
 
-def _cells_of(tables: int, probes: int, blocks: int, step: float, full: bool):
+def _cells_of(tables: int, probes: int, blocks: int, step: float, kind: type | None):
     some = max(1, 24_000 // (tables * (1 + probes * blocks)))  # 1,000 rows at one block
 
     def run(batches):
@@ -140,65 +166,83 @@ def _cells_of(tables: int, probes: int, blocks: int, step: float, full: bool):
                     keep = np.concatenate([np.ones((len(own), 1), bool), names[:, 1:] != names[:, :-1]], 1)
                     row, place = np.nonzero(keep)
                     cell = pa.array(names[row, place])
-                    if not full:
+                    if kind is None:
                         yield pa.RecordBatch.from_arrays([cell], names=["cell"])
                         continue
                     take = pa.array(own[row])
-                    before = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(place)]).astype(np.int32), pa.array(np.concatenate([names[r, :p] for r, p in zip(row, place, strict=True)]) if len(row) else np.zeros(0, np.int64)))
-                    bodies = [np.array(v, np.float64).tobytes() for v in vectors]
-                    yield pa.RecordBatch.from_arrays([cell, *[part.column(k).take(take) for k in (1, 2, 3, 4)], pa.array(bodies, pa.binary()).take(take), before], names=["cell", "k", "k2", "rep", "n", "body", "before"])
+                    bodies = pa.array([np.array(v, kind).tobytes() for v in vectors], pa.binary())
+                    yield pa.RecordBatch.from_arrays([cell, *[part.column(k).take(take) for k in (1, 2, 3, 4)], bodies.take(take)], names=["cell", "k", "k2", "rep", "n", "body"])
 
     return run
 
 
-def cell_links(x: np.ndarray, n: np.ndarray, before: list, side: np.ndarray | None, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Numbers of links of each row with the others of a cell that meet in no lesser cell, and a spanning forest of
-    these links. side: the block of each row, if only links across two blocks are asked for."""
+def candidates(x: np.ndarray, side: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a cell that link with others of it, and the links among them. side: the block of each row, if only links
+    across two blocks are asked for."""
     linked = x @ x.T >= cosine
     np.fill_diagonal(linked, False)
     if side is not None:
         linked &= side[:, None] != side[None, :]
     rows = np.flatnonzero(linked.any(1))
-    counts = np.zeros(len(x), np.int64)
-    if not len(rows):
-        return counts, []
-    linked = linked[np.ix_(rows, rows)]
-    lists = [before[i] for i in rows]
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    if size.sum():
-        names, place = np.unique(np.concatenate(lists), return_inverse=True)
-        for lo in range(0, len(names), 2048):  # a block of lesser cells at a time
-            dense = np.zeros((len(rows), min(2048, len(names) - lo)), np.float32)
-            own = (place >= lo) & (place < lo + 2048)
-            dense[np.repeat(np.arange(len(rows)), size)[own], place[own] - lo] = 1
-            linked &= dense @ dense.T < 0.5
-    counts[rows] = linked @ n[rows]
-    return counts, [(int(rows[a]), int(rows[b])) for a, b in spanning(linked)]
-
-
-def _compare(cosine: float):
+    return rows, linked[np.ix_(rows, rows)]
+
+
+def first_met(linked: np.ndarray, names: np.ndarray, cell: int) -> np.ndarray:
+    """The links of rows that meet in no lesser cell; names: the cells of each row."""
+    owner, column = np.nonzero(names < cell)
+    lesser, place = np.unique(names[owner, column], return_inverse=True)
+    for lo in range(0, len(lesser), 2048):  # a block of lesser cells at a time
+        dense = np.zeros((len(linked), min(2048, len(lesser) - lo)), np.float32)
+        own = (place >= lo) & (place < lo + 2048)
+        dense[owner[own], place[own] - lo] = 1
+        linked = linked & (dense @ dense.T < 0.5)
+    return linked
+
+
+#: Linked rows of several cells whose own cells are made at once.
+SOME_ROWS = 1000
+
+
+def _compare(cosine: float, kind: type, tables: int, probes: int, blocks: int, step: float):
     def run(batches):
-        now, rows = None, []
+        now, rows, waiting, held = None, [], [], 0
 
         def close():
-            if len(rows) < 2:
-                return []
-            k, k2, rep, n, body, before, side = zip(*rows, strict=True)
-            x = unit([np.frombuffer(b, np.float64) for b in body])
-            sides = None if now[1] == now[2] else np.array(side)
-            counts, edges = cell_links(x, np.array(n, np.int64), [np.array(b, np.int64) for b in before], sides, cosine)
-            return [(k[i], k2[i], int(c)) for i, c in enumerate(counts) if c] + [(rep[a], rep[b], -1) for a, b in edges]
+            nonlocal held
+            if len(rows) > 1:
+                *names, body, side = zip(*rows, strict=True)
+                x = unit([np.frombuffer(b, kind) for b in body])
+                found, linked = candidates(x, None if now[1] == now[2] else np.array(side), cosine)
+                if len(found):
+                    waiting.append((now[0], x[found], linked, [np.array(v, np.int64)[found] for v in names]))
+                    held += len(found)
+
+        def flush():
+            nonlocal held
+            out = []
+            for dim in {x.shape[1] for _, x, _, _ in waiting}:
+                own = [w for w in waiting if w[1].shape[1] == dim]
+                every = cells(np.concatenate([x for _, x, _, _ in own]), tables, probes, blocks, step)
+                at = 0
+                for cell, x, linked, (k, k2, rep, n) in own:
+                    linked = first_met(linked, every[at : at + len(x)], cell)
+                    at += len(x)
+                    out += [(int(k[i]), int(k2[i]), int(c)) for i, c in enumerate(linked @ n) if c]
+                    out += [(int(rep[a]), int(rep[b]), -1) for a, b in spanning(linked)]
+            waiting.clear()
+            held = 0
+            return out
 
         for batch in batches:
-            found = []
             for cell, c, d, side, *row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
                 if (cell, c, d) != now:
-                    found += close()
+                    close()
                     now, rows = (cell, c, d), []
+                    if held >= SOME_ROWS and (found := flush()):
+                        yield _found(found)
                 rows.append((*row, side))
-            if found:
-                yield _found(found)
-        if found := close():
+        close()
+        if found := flush():
             yield _found(found)
 
     return run
@@ -222,16 +266,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int | No
     if tables is None:
         tables = TABLES_AT[blocks]
     given = classes.select("embedding", "k", "k2", "rep", "n")
-    sizes = classes.select("embedding").mapInArrow(_cells_of(tables, probes, blocks, step, False), "cell long").groupBy("cell").agg(F.count("*").alias("rows"))
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType == T.FloatType() else np.float64  # bodies are shipped as they are stored
+    sizes = classes.select("embedding").mapInArrow(_cells_of(tables, probes, blocks, step, None), "cell long").groupBy("cell").agg(F.count("*").alias("rows"))
     big = cut(sizes.where(F.col("rows") > cell_rows).withColumn("parts", F.ceil(F.col("rows") * 2 / cell_rows).cast("int")), "cells")
-    placed = given.mapInArrow(_cells_of(tables, probes, blocks, step, True), "cell long, k long, k2 long, rep long, n long, body binary, before array<long>")
+    placed = given.mapInArrow(_cells_of(tables, probes, blocks, step, kind), "cell long, k long, k2 long, rep long, n long, body binary")
     if big.isEmpty():
-        dealt = placed.select("cell", F.lit(0).alias("c"), F.lit(0).alias("d"), F.lit(0).alias("side"), "k", "k2", "rep", "n", "body", "before")
+        dealt = placed.select("cell", F.lit(0).alias("c"), F.lit(0).alias("d"), F.lit(0).alias("side"), "k", "k2", "rep", "n", "body")
     else:
         parts = F.coalesce("parts", F.lit(1))
         dealt = placed.join(big.select("cell", "parts"), "cell", "left").withColumn("side", F.pmod(F.xxhash64("k2"), parts).cast("int"))
-        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", F.least("side", "o").alias("c"), F.greatest("side", "o").alias("d"), "side", "k", "k2", "rep", "n", "body", "before")
-    found = dealt.repartition("cell", "c", "d").sortWithinPartitions("cell", "c", "d", "rep", "k").mapInArrow(_compare(cosine), "x long, y long, links long")
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", F.least("side", "o").alias("c"), F.greatest("side", "o").alias("d"), "side", "k", "k2", "rep", "n", "body")
+    found = dealt.repartition("cell", "c", "d").sortWithinPartitions("cell", "c", "d", "rep", "k").mapInArrow(_compare(cosine, kind, tables, probes, blocks, step), "x long, y long, links long")
     found = cut(found, "found")
     counts = found.where("links > 0").groupBy(F.col("x").alias("k"), F.col("y").alias("k2")).agg(F.sum("links").alias("links"))
     edges = found.where("links < 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
