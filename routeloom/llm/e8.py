@@ -266,7 +266,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int | No
     if tables is None:
         tables = TABLES_AT[blocks]
     given = classes.select("embedding", "k", "k2", "rep", "n")
-    kind = np.float32 if vectors.schema["embedding"].dataType.elementType == T.FloatType() else np.float64  # bodies are shipped as they are stored
+    kind = np.float32 if rows.schema[1].dataType.elementType == T.FloatType() else np.float64  # bodies are shipped as they are stored
     sizes = classes.select("embedding").mapInArrow(_cells_of(tables, probes, blocks, step, None), "cell long").groupBy("cell").agg(F.count("*").alias("rows"))
     big = cut(sizes.where(F.col("rows") > cell_rows).withColumn("parts", F.ceil(F.col("rows") * 2 / cell_rows).cast("int")), "cells")
     placed = given.mapInArrow(_cells_of(tables, probes, blocks, step, kind), "cell long, k long, k2 long, rep long, n long, body binary")
