@@ -1,6 +1,7 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-A document's set is its distinct n-word shingles. Equal sets are one class, joined by their digest. Classes are put
+A document's set is its distinct n-word shingles. Equal sets are one class, joined by their digest and named by a
+number of its own, so that two texts under one doc_id stay apart. Classes are put
 into ``trees`` independent trees: a tree's root branches by the least token under its own hash; small nodes are compared
 exhaustively on whole sets; larger ones branch again by further chosen minwise tokens (two a node, each kept by a linked
 pair with probability 0.75 or more), and nodes that do not shrink are compared exhaustively after a number of levels.
@@ -197,7 +198,7 @@ def _sketch(n: int, many: int):
 
 
 def _sets_of(n: int, make, names: list[str], kinds: list[pa.DataType]):
-    """Rows made of (doc_id, its set, its nodes) for docs whose set is the class's."""
+    """Rows made of (class, its set, its nodes) for docs whose set is the class's."""
 
     def run(batches):
         for batch in batches:
@@ -224,6 +225,8 @@ def _ship(doc, s, own):
 #: Bits of the filter that tells which classes may be in large nodes: 1 MB, whatever the tables.
 MAYBE = 1 << 23
 _BIT = f"pmod(xxhash64(rep), {MAYBE})"
+#: What is known of a class beside its nodes: its number, a document that has it, and its digest.
+CLASS = ["cls", "rep", "digest"]
 
 
 def _branches(n: int, many: int, maybe):
@@ -278,7 +281,7 @@ def _compare_nodes(percent: int):
 def _shared(nodes: DataFrame, node_rows: int, last: bool) -> DataFrame:
     """(node, rows) of nodes with two classes or more; of nodes with the same classes, as trees often make, one, unless
     they are branched: here up to the last level, or in compare()."""
-    members = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"m{k}") for k in range(2)]
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "cls")).alias(f"m{k}") for k in range(2)]
     counts = nodes.groupBy("node").agg(F.count("*").alias("rows"), *members).where("rows > 1")
     whole = (F.col("rows") <= min(LEAF_ROWS, node_rows)) | ((F.col("rows") > node_rows) & F.lit(last))
     own = F.when(whole, F.lit(0)).otherwise(F.col("node")).alias("own")
@@ -286,17 +289,17 @@ def _shared(nodes: DataFrame, node_rows: int, last: bool) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
-    """(a, b): confirmed links among classes (rep, digest, minima), spanning every component that the trees find."""
+    """(a, b): confirmed links among classes (cls, rep, digest, minima), spanning every component that the trees find."""
     text = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), text_bytes().alias("body"))
-    names = classes.select("rep", "digest")
-    roots = classes.select("rep", F.posexplode(F.slice("minima", 1, trees)).alias("tree", "least"))
-    rows = roots.select("rep", "tree", F.xxhash64("tree", "least").alias("node"))
+    names = classes.select(*CLASS)
+    roots = classes.select("cls", F.posexplode(F.slice("minima", 1, trees)).alias("tree", "least"))
+    rows = roots.select("cls", "tree", F.xxhash64("tree", "least").alias("node"))
     done: DataFrame | None = None
     keys: DataFrame | None = None
     for level in range(levels + 1):
         counts = cut(_shared(rows, node_rows, level == levels), "nodes")
         most = counts.agg(F.max("rows").alias("m")).first()["m"] or 0
-        small = rows.join(counts.where(F.col("rows") <= node_rows).select("node"), "node").select("rep", "node", F.lit(False).alias("dense"))
+        small = rows.join(counts.where(F.col("rows") <= node_rows).select("node"), "node").select("cls", "node", F.lit(False).alias("dense"))
         done = small if done is None else done.unionByName(small)
         if most <= node_rows:
             break
@@ -304,27 +307,27 @@ def links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int =
         if level == levels:
             # still large: salted blocks, each pair of blocks a node of its own
             k = F.ceil(F.col("rows") * 2 / node_rows)
-            c = F.pmod(F.xxhash64("rep", "node"), k)
-            pair = big.select("rep", "node", c.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("d"))
-            done = done.unionByName(pair.select("rep", F.xxhash64("node", F.least("c", "d"), F.greatest("c", "d")).alias("node"), F.lit(True).alias("dense")))
+            c = F.pmod(F.xxhash64("cls", "node"), k)
+            pair = big.select("cls", "node", c.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("d"))
+            done = done.unionByName(pair.select("cls", F.xxhash64("node", F.least("c", "d"), F.greatest("c", "d")).alias("node"), F.lit(True).alias("dense")))
             break
         if keys is None:
-            hot = cut(big.select("rep").distinct().join(names, "rep"), "hot")
+            hot = cut(big.select("cls").distinct().join(names, "cls"), "hot")
             bits = hot.select(F.expr(_BIT).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
             found = np.zeros(MAYBE // 64, np.int64)
             for row in bits.collect():  # MAYBE / 64 rows at most, whatever the tables
                 found[row["w"]] = row["b"]
             maybe = text.sparkSession.sparkContext.broadcast(found.tobytes())
             made = text.select("rep", "body", F.expr(_BIT).alias("p")).mapInArrow(_branches(n, 2 * trees * levels, maybe), "rep long, digest binary, keys array<long>")
-            keys = cut(made.join(hot, ["rep", "digest"]).select("rep", "keys").dropDuplicates(["rep"]), "keys")
+            keys = cut(made.join(hot, ["rep", "digest"]).select("cls", "keys").dropDuplicates(["cls"]), "keys")
         # a node branches by the two hash functions of its tree and level
         at = [2 * (F.col("tree") * levels + level) + k for k in range(2)]
         child = F.explode(F.array(*[F.xxhash64("node", F.lit(k), F.element_at("keys", (p + 1).cast("int"))) for k, p in enumerate(at)]))
-        rows = cut(big.join(keys, "rep").select("rep", "tree", child.alias("node")), "branch")
-    flat = done.select("rep", F.struct("node", "dense").alias("x"))
-    own = flat.groupBy("rep").agg(F.collect_list("x").alias("nodes")).join(names, "rep")
-    shipped = text.join(own, "rep").select("rep", "body", "digest", "nodes").mapInArrow(_sets_of(n, _ship, ["rep", "node", "dense", "body"], [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]), "rep long, node long, dense boolean, body binary")
-    dealt = shipped.select("node", "dense", "rep", "body").repartition("node").sortWithinPartitions("node", "dense", "rep")
+        rows = cut(big.join(keys, "cls").select("cls", "tree", child.alias("node")), "branch")
+    flat = done.select("cls", F.struct("node", "dense").alias("x"))
+    own = flat.groupBy("cls").agg(F.collect_list("x").alias("nodes")).join(names, "cls")
+    shipped = text.join(own, "rep").select("cls", "body", "digest", "nodes").mapInArrow(_sets_of(n, _ship, ["cls", "node", "dense", "body"], [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]), "cls long, node long, dense boolean, body binary")
+    dealt = shipped.select("node", "dense", "cls", "body").repartition("node").sortWithinPartitions("node", "dense", "cls")
     return dealt.mapInArrow(_compare_nodes(percent), "a long, b long").distinct()
 
 
@@ -336,12 +339,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, t
     sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(_sketch(n, trees), "doc_id long, n_shingles long, digest binary, minima array<long>")
     sketch = cut(sketch, "sketch")
     real = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = cut(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima")), "classes")
+    # classes are numbered where they are written, so the numbers stay
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     found = links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), classes, n, percent, trees, node_rows, levels)
-    placed = real.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
-    same = placed.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.collect_set("rep").alias("reps")).where("lo <> hi").select(F.col("lo").alias("a"), F.explode("reps").alias("b"))
-    groups = components(found.unionByName(same))
-    by_class = classes.select("digest", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    placed = real.select("doc_id", "digest").join(classes.select("digest", "cls"), "digest").select("doc_id", "cls")
+    same = placed.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.collect_set("cls").alias("own")).where("lo <> hi").select(F.col("lo").alias("a"), F.explode("own").alias("b"))
+    groups = components(found.unionByName(same)).withColumnRenamed("node", "cls").withColumnRenamed("component", "root")
+    linked = cut(groups.join(classes.select("cls", "digest", "rep"), "cls").select("digest", "root", "rep"), "linked")
+    by_class = linked.join(linked.groupBy("root").agg(F.min("rep").alias("linked")), "root").select("digest", "linked")
+    by_class = classes.select("digest", "rep").join(by_class, "digest", "left").select("digest", F.coalesce("linked", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

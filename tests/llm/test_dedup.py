@@ -96,8 +96,17 @@ def test_long_sets_are_compared_whole(monkeypatch):
         assert minhash.compare([5, 9], [sets[a], sets[b]], 17 + k, False) == [(5, 9)]
 
 
+@pytest.mark.parametrize("knobs", [{}, {"node_rows": 1, "levels": 3}])
+def test_two_texts_of_one_doc_id_keep_their_own_links(spark, knobs):
+    shared = {x: " ".join(f"{x}{j}" for j in range(18)) for x in "pq"}
+    rows = [(5, f"{shared['p']} y"), (5, f"{shared['q']} y"), (7, f"{shared['p']} z"), (3, f"{shared['q']} z"), (9, "alone")] * 2
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **knobs).collect()
+    assert Counter(map(tuple, found)) == near_expected(rows)
+    assert {(r.doc_id, r.component_id) for r in found} == {(5, 3), (7, 3), (3, 3), (9, 9)}
+
+
 def test_equal_nodes_that_branch_all_stay(spark):
-    nodes = spark.createDataFrame([(rep, node) for node in (1, 2, 3) for rep in (10, 11, 12)], "rep long, node long")
+    nodes = spark.createDataFrame([(rep, node) for node in (1, 2, 3) for rep in (10, 11, 12)], "cls long, node long")
     kept = lambda *knobs: sorted(r.node for r in minhash._shared(nodes, *knobs).collect())
     assert kept(2, False) == [1, 2, 3] and kept(3, False) == [1] and kept(2, True) == [1]
 
