@@ -14,12 +14,18 @@ from routeloom.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Cosines of unrelated texts scatter around 0 by 1 / sqrt(DIMS). A text of at least so many letters whose cosine to every
+#: prototype is below three times that is in none of the learned languages; shorter ones say too little to be rejected.
+NOISE, LETTERS = 3 / langid.DIMS**0.5, 100
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without a letter, which have no language, go; missing labels are filled in."""
+    """Language ID: texts without a letter, which have no language, and longer texts that no profile is near go; missing
+    labels are filled in."""
     labelled = docs.where(langid.remainder() != 2).select("doc_id", "text", "lang")
     said = langid.identify(docs.select(*COLUMNS), labelled).where(F.col("lang_pred") != "und")
-    return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    near = (F.col("score") >= NOISE) | (F.length(F.regexp_replace("text", r"\P{L}", "")) < LETTERS)
+    return said.where(near).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
