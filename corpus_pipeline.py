@@ -14,8 +14,9 @@ from routeloom.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Cosines of unrelated texts scatter around 0 by 1 / sqrt(DIMS). A text of at least so many letters whose cosine to every
-#: prototype is below three times that is in none of the learned languages; shorter ones say too little to be rejected.
+#: Cosines of unrelated texts scatter around 0 by 1 / sqrt(DIMS). A text whose distinct words hold at least so many letters
+#: and whose cosine to every prototype is below three times that is in none of the learned languages; fewer words, however
+#: often repeated, say too little to be rejected.
 NOISE, LETTERS = 3 / langid.DIMS**0.5, 100
 
 
@@ -24,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels are filled in."""
     labelled = docs.where(langid.remainder() != 2).select("doc_id", "text", "lang")
     said = langid.identify(docs.select(*COLUMNS), labelled).where(F.col("lang_pred") != "und")
-    near = (F.col("score") >= NOISE) | (F.length(F.regexp_replace("text", r"\P{L}", "")) < LETTERS)
-    return said.where(near).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"\P{L}+", " "), " "))
+    return said.where((F.col("score") >= NOISE) | (F.length(F.array_join(words, "")) < LETTERS)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
