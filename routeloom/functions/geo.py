@@ -12,8 +12,9 @@ E2 = FLATTENING * (2 - FLATTENING)
 
 
 def planar(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
-    """Distance in degrees."""
-    return F.hypot(lng1 - lng2, lat1 - lat2)
+    """Distance in degrees: the root of summed squares, not hypot, which differs from it in the last bit and so breaks
+    ties between equally near edges otherwise than SQL does."""
+    return F.sqrt((lng1 - lng2) * (lng1 - lng2) + (lat1 - lat2) * (lat1 - lat2))
 
 
 def geodesic_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
