@@ -147,9 +147,15 @@ def unit(rows: list) -> np.ndarray:
     return x / np.sqrt(squares)[:, None]
 
 
-def _by_dim(vectors: list) -> dict[int, np.ndarray]:
-    size = np.fromiter(map(len, vectors), np.int64, len(vectors))
-    return {int(d): np.flatnonzero(size == d) for d in np.unique(size)}
+def _by_dim(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) for each length of a column of lists without nulls."""
+    starts = column.offsets.to_numpy()
+    size, values = np.diff(starts), column.values.to_numpy(zero_copy_only=False)
+    out = []
+    for d in np.unique(size):
+        own = np.flatnonzero(size == d)
+        out.append((own, values[starts[own][:, None] + np.arange(d)]))
+    return out
 
 
 def _cells_of(tables: int, probes: int, blocks: int, step: float, kind: type | None):
@@ -159,9 +165,8 @@ def _cells_of(tables: int, probes: int, blocks: int, step: float, kind: type | N
         for batch in batches:
             for lo in range(0, batch.num_rows, some):
                 part = batch.slice(lo, some)
-                vectors = part.column(0).to_pylist()
-                for own in _by_dim(vectors).values():
-                    names = cells(unit([vectors[i] for i in own]), tables, probes, blocks, step)
+                for own, vectors in _by_dim(part.column(0)):
+                    names = cells(unit(vectors), tables, probes, blocks, step)
                     names.sort(axis=1)
                     keep = np.concatenate([np.ones((len(own), 1), bool), names[:, 1:] != names[:, :-1]], 1)
                     row, place = np.nonzero(keep)
@@ -170,8 +175,8 @@ def _cells_of(tables: int, probes: int, blocks: int, step: float, kind: type | N
                         yield pa.RecordBatch.from_arrays([cell], names=["cell"])
                         continue
                     take = pa.array(own[row])
-                    bodies = pa.array([np.array(v, kind).tobytes() for v in vectors], pa.binary())
-                    yield pa.RecordBatch.from_arrays([cell, *[part.column(k).take(take) for k in (1, 2, 3, 4)], bodies.take(take)], names=["cell", "k", "k2", "rep", "n", "body"])
+                    bodies = pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([cell, *[part.column(k).take(take) for k in (1, 2, 3, 4)], bodies.take(pa.array(row))], names=["cell", "k", "k2", "rep", "n", "body"])
 
     return run
 
@@ -180,7 +185,9 @@ def candidates(x: np.ndarray, side: np.ndarray | None, cosine: float) -> tuple[n
     """Rows of a cell that link with others of it, and the links among them. side: the block of each row, if only links
     across two blocks are asked for."""
     linked = x @ x.T >= cosine
-    np.fill_diagonal(linked, False)
+    linked.reshape(-1)[:: len(x) + 1] = False
+    if not linked.any():  # most cells
+        return np.empty(0, np.int64), linked[:0, :0]
     if side is not None:
         linked &= side[:, None] != side[None, :]
     rows = np.flatnonzero(linked.any(1))
@@ -203,19 +210,31 @@ def first_met(linked: np.ndarray, names: np.ndarray, cell: int) -> np.ndarray:
 SOME_ROWS = 1000
 
 
+def _bodies(column: pa.Array, kind: type) -> list | np.ndarray:
+    """Unit vectors of a column of bodies, row by row; an array if all have one length."""
+    starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size, data = np.diff(starts), np.frombuffer(column.buffers()[2], np.uint8)
+    out = [None] * len(column)
+    for d in np.unique(size):
+        own = np.flatnonzero(size == d)
+        if len(own) == len(column):
+            return unit(data[starts[0] : starts[-1]].view(kind).reshape(len(column), -1))
+        for i, v in zip(own, unit(data[starts[own][:, None] + np.arange(d)].view(kind)), strict=True):
+            out[i] = v
+    return out
+
+
 def _compare(cosine: float, kind: type, tables: int, probes: int, blocks: int, step: float):
     def run(batches):
-        now, rows, waiting, held = None, [], [], 0
+        waiting, held = [], 0
 
-        def close():
+        def close(now, x, side, names):
+            """One cell's rows, or those of two blocks of it."""
             nonlocal held
-            if len(rows) > 1:
-                *names, body, side = zip(*rows, strict=True)
-                x = unit([np.frombuffer(b, kind) for b in body])
-                found, linked = candidates(x, None if now[1] == now[2] else np.array(side), cosine)
-                if len(found):
-                    waiting.append((now[0], x[found], linked, [np.array(v, np.int64)[found] for v in names]))
-                    held += len(found)
+            found, linked = candidates(np.asarray(x), None if now[1] == now[2] else side, cosine)
+            if len(found):
+                waiting.append((now[0], np.asarray(x)[found], linked, [v[found] for v in names]))
+                held += len(found)
 
         def flush():
             nonlocal held
@@ -233,15 +252,35 @@ def _compare(cosine: float, kind: type, tables: int, probes: int, blocks: int, s
             held = 0
             return out
 
+        now, open_ = None, []  # the cell that the last batch ended in, and its rows so far
+
+        def end():
+            if sum(len(part[1]) for part in open_) > 1:
+                x, side, *names = zip(*open_, strict=True)
+                close(now, np.concatenate([np.asarray(v) for v in x]), np.concatenate(side), [np.concatenate(v) for v in names])
+
         for batch in batches:
-            for cell, c, d, side, *row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
-                if (cell, c, d) != now:
-                    close()
-                    now, rows = (cell, c, d), []
-                    if held >= SOME_ROWS and (found := flush()):
-                        yield _found(found)
-                rows.append((*row, side))
-        close()
+            if not batch.num_rows:
+                continue
+            cell, c, d, side, *names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            x = _bodies(batch.column(8), kind)
+            at = np.flatnonzero((cell[1:] != cell[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])) + 1
+            starts, ends = [0, *at.tolist()], [*at.tolist(), batch.num_rows]
+            for lo, hi in zip(starts, ends, strict=True):
+                if lo and hi - lo == 1 and hi < batch.num_rows:
+                    continue  # a cell of one row
+                key = (int(cell[lo]), int(c[lo]), int(d[lo]))
+                part = (x[lo:hi], side[lo:hi], *[v[lo:hi] for v in names])
+                if lo and hi < batch.num_rows:
+                    close(key, *part[:2], part[2:])
+                elif key == now:
+                    open_.append(part)
+                else:
+                    end()
+                    now, open_ = key, [part]
+                if held >= SOME_ROWS and (found := flush()):
+                    yield _found(found)
+        end()
         if found := flush():
             yield _found(found)
 
