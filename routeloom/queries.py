@@ -293,7 +293,7 @@ def top_events(spark, sf_dir):
 def farthest_of_window(spark, sf_dir):
     """Of each pair and window the farthest event, over both directions, in which these vehicles are seen at once."""
     both = _gps(spark, sf_dir).withColumn("direction", (F.col("event_id") % 2 + 1).cast("double"))
-    return _event_columns(merge.farthest_of_window(detect.detect(both, "mbr", NORMAL), NORMAL))
+    return _event_columns(mbr.farthest_of_window(detect.rectangles(both, NORMAL), NORMAL))
 
 
 @query(
