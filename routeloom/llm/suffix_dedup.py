@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import raw, slices
+from .common import raw, release, slices
 from .passages import KEY, Bytes, merged, repeated_spans, texts
 
 SIZE, PASSAGE, PASSAGE_WORDS = 400, 224, 50
@@ -38,18 +38,27 @@ HOT = 2_000
 _FIRST = 4
 
 
+def _whole(n: int) -> type:
+    """The narrower type of numbers up to n: a shard is held in a dozen arrays at once."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys, and which places in it are the first of their run of equal keys."""
+    """The order of keys, and which places in it are the first of their run of equal keys. keys are overwritten."""
     n = len(keys)
-    bits = max(1, n - 1).bit_length()
+    kind, bits = _whole(n), max(1, n - 1).bit_length()
     if n and int(keys.max()).bit_length() + bits <= 63:
-        both = np.sort(keys << bits | np.arange(n))
-        order, ordered = both & ((1 << bits) - 1), both >> bits
+        keys <<= bits
+        keys |= np.arange(n, dtype=kind)
+        keys.sort()
+        order = np.empty(n, kind)
+        np.bitwise_and(keys, (1 << bits) - 1, out=order, casting="unsafe")
+        keys >>= bits
     else:
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
+        order = np.argsort(keys, kind="stable").astype(kind)
+        keys = keys[order]
     new = np.ones(n, bool)
-    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
     return order, new
 
 
@@ -60,6 +69,13 @@ def _again(order: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
+def _begins(new: np.ndarray) -> np.ndarray:
+    """Of each place, where its run begins."""
+    at = np.arange(len(new), dtype=_whole(len(new)))
+    at *= new
+    return np.maximum.accumulate(at, out=at)
+
+
 def _levels(depths: list[int]) -> list[int]:
     """Doublings up to the greatest depth, by way of every depth."""
     out = [min(_FIRST, *depths)]
@@ -73,6 +89,7 @@ def prefix_ranks(data: np.ndarray, rest: np.ndarray, depths: list[int], starts:
     run of equal ones starts in suffix order. rest: bytes up to the end of each position's context. The last two levels
     hold for the starts."""
     n, levels = len(data), _levels(depths)
+    kind = _whole(n + 2 * max(depths))
     wanted = [np.ones(n, bool)] * len(levels)
     if len(levels) > 3:
         wanted[-1] = np.zeros(n, bool)
@@ -80,28 +97,37 @@ def prefix_ranks(data: np.ndarray, rest: np.ndarray, depths: list[int], starts:
         step = levels[-1] - levels[-2]
         wanted[-2] = wanted[-1].copy()
         wanted[-2][step:] |= wanted[-1][: n - step]
-    symbols = data.astype(np.int64) + 1
+    symbols = data.astype(np.int16) + np.int16(1)
     keys = np.zeros(n, np.int64)
     span = levels[0]
     for k in range(span):
         keys <<= 9
-        keys[: n - k] |= np.where(rest[: n - k] > k, symbols[k:], 0)
+        keys[: n - k] |= np.where(rest[: n - k] > k, symbols[k:], np.int16(0))
+    del symbols
     order, new = _sorted(keys)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    alive = np.flatnonzero(_again(order, new))
+    del keys
+    rank = np.empty(n, kind)
+    rank[order] = _begins(new)
+    alive = np.flatnonzero(_again(order, new)).astype(kind)
+    del order, new
     out = {span: rank}
     for to, own in zip(levels[1:], wanted[1:], strict=True):
         step, rank = to - span, rank.copy()
         alive = alive[own[alive]]
         if len(alive):
             first = rank[alive]
-            order, new = _sorted(first * (n + 1) + np.where(rest[alive] > step, rank[np.minimum(alive + step, n - 1)] + 1, 0))
+            keys = first.astype(np.int64)
+            keys *= n + 1
+            keys += np.where(rest[alive] > step, rank[np.minimum(alive + kind(step), kind(n - 1))] + kind(1), kind(0))
+            order, new = _sorted(keys)
+            del keys
             # runs of equal first parts are where they were; each part of one moves on by what stands before it there
-            ordered, place = first[order], np.arange(len(alive))
+            ordered = first[order]
             edge = np.ones(len(alive), bool)
             np.not_equal(ordered[1:], ordered[:-1], out=edge[1:])
-            rank[alive[order]] = ordered + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(edge, place, 0))
+            ordered += _begins(new)
+            ordered -= _begins(edge)
+            rank[alive[order]] = ordered
             alive = alive[_again(order, new)]
         span = to
         out[span] = rank
@@ -111,11 +137,11 @@ def prefix_ranks(data: np.ndarray, rest: np.ndarray, depths: list[int], starts:
 def common(data: np.ndarray, ranks: dict[int, np.ndarray], rest: np.ndarray, x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """How many first bytes, up to size, the suffixes at starts x and y share: from the ranks, longest spans first."""
     n = len(rest)
-    out = np.zeros(len(x), np.int64)
+    out = np.zeros(len(x), rest.dtype)
     most = np.minimum(np.minimum(rest[x], rest[y]), size)
     for span, values in [*sorted(ranks.items(), reverse=True), *[(1, data)] * (_FIRST - 1)]:
-        a, b = np.minimum(x + out, n - 1), np.minimum(y + out, n - 1)
-        out += np.where((out + span <= most) & (values[a] == values[b]), span, 0)
+        same = values[np.minimum(x + out, rest.dtype.type(n - 1))] == values[np.minimum(y + out, rest.dtype.type(n - 1))]
+        out += (same & (out + rest.dtype.type(span) <= most)) * rest.dtype.type(span)
     return out
 
 
@@ -139,11 +165,10 @@ def factors(data: np.ndarray, rest: np.ndarray, starts: np.ndarray, size: int, f
     ``floor`` bytes share."""
     ranks = prefix_ranks(data, rest, [floor, size], starts)
     deep, shallow = ranks[size][starts], ranks[floor][starts]
-    lpf, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+    lpf, source = np.zeros(len(starts), deep.dtype), np.full(len(starts), -1, deep.dtype)
     if not len(starts):
         return lpf, source, shallow
-    bits = max(1, len(starts) - 1).bit_length()
-    sa = np.sort(deep << bits | np.arange(len(starts))) & ((1 << bits) - 1)  # ties by position
+    sa, _ = _sorted(deep.astype(np.int64))  # ties by position
     # starts that share size bytes are a class, in order of position: the previous smaller one is the neighbour
     new = np.concatenate([[True], deep[sa[1:]] != deep[sa[:-1]]])
     head = np.flatnonzero(new)
@@ -170,7 +195,7 @@ def factors(data: np.ndarray, rest: np.ndarray, starts: np.ndarray, size: int, f
 
 def _roots(source: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """The first of the chain of sources that each linked start is in; the start itself else."""
-    root = np.where(linked, source, np.arange(len(source)))
+    root = np.where(linked, source, np.arange(len(source), dtype=source.dtype))
     while True:
         up = root[root]
         if (up == root).all():
@@ -183,11 +208,16 @@ def decide(size: int, keep: str, passage: int):
         lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
         data = np.frombuffer(b"".join(contexts), np.uint8)
         begin = np.cumsum(lengths) - lengths
-        rest = np.repeat(begin + lengths, lengths) - np.arange(len(data))
-        of = np.repeat(np.arange(len(contexts)), many)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        starts = begin[of] + offset  # windows; each start of a text is in one context
+        kind = _whole(len(data) + 2 * size)
+        rest = np.repeat((begin + lengths).astype(kind), lengths)
+        rest -= np.arange(len(data), dtype=kind)
+        of = np.repeat(np.arange(len(contexts), dtype=kind), many)
+        offset = np.arange(len(of), dtype=kind)
+        offset -= np.repeat((np.cumsum(many) - many).astype(kind), many)
+        starts = begin.astype(kind)[of] + offset  # windows; each start of a text is in one context
         lpf, source, same = factors(data, rest, starts, size, passage)
+        if len(data) > 2 * SHARD_BYTES:  # what this took else stays with the worker
+            release()
         long = rest[starts] >= size
         later = long & (lpf >= size)
         root = _roots(source, later)
