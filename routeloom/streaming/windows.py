@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import libm
 from ..functions.timewin import angle, window_start
 from ..schema import Params
 
@@ -28,5 +29,5 @@ def stream_mbrs(points: DataFrame, p: Params = Params(), late: str = "10 minutes
         F.max_by(d, order).alias("last_dis"),
         F.count("*").alias("n_points"),
     )
-    kept = out.where(F.col("n_points") >= p.min_points).withColumn("angle", angle(F.col("last_dis") - F.col("first_dis")))
+    kept = out.where(F.col("n_points") >= p.min_points).withColumn("angle", angle(F.col("last_dis") - F.col("first_dis"), libm.arctangent))
     return kept.select("lineName", "direction", F.to_date("w.start").alias("service_date"), window_start(F.col("w.start"), p.window_minutes).alias("win_st"), "idx", "min_time", "max_time", "min_dis_location", "max_dis_location", "first_dis", "last_dis", "n_points", "angle")
