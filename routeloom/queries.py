@@ -47,6 +47,12 @@ def _r(col, name: str | None = None, digits: int = 6):
     return F.round(F.col(col) if isinstance(col, str) else col, digits).alias(name or col)
 
 
+def _half_up(col: str, digits: int = 6):
+    """Rounds a number from 0 on as SQL does, without making a decimal of it."""
+    steps = F.col(col) * 10.0**digits
+    return ((F.floor(steps) + F.when(steps - F.floor(steps) >= 0.5, 1).otherwise(0)) / F.lit(10.0**digits)).alias(col)
+
+
 def _t(col: str, name: str | None = None) -> str:
     return f"strftime({col}, '%Y-%m-%d %H:%M:%S.%f') AS {name or col}"
 
@@ -293,7 +299,12 @@ def top_events(spark, sf_dir):
 def farthest_of_window(spark, sf_dir):
     """Of each pair and window the farthest event, over both directions, in which these vehicles are seen at once."""
     both = _gps(spark, sf_dir).withColumn("direction", (F.col("event_id") % 2 + 1).cast("double"))
-    return _event_columns(mbr.farthest_of_window(detect.rectangles(both, NORMAL), NORMAL))
+    # texts are made once a rectangle, and a pair takes those of the earlier start and the later end
+    timed = detect.rectangles(both, NORMAL).withColumns({"_from": _stamp("min_time"), "_to": _stamp("max_time")})
+    e = mbr.farthest_of_two(timed, NORMAL, ("_from", "_to"))
+    start = F.when(F.col("min_time1") <= F.col("min_time2"), F.col("_from1")).otherwise(F.col("_from2"))
+    end = F.when(F.col("max_time1") >= F.col("max_time2"), F.col("_to1")).otherwise(F.col("_to2"))
+    return e.select("lineName", "direction", "idx1", "idx2", "win_st", _half_up("distance"), start.alias("start_time"), end.alias("end_time"), "duration")
 
 
 @query(
